@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, secrets
+from . import counts, exact, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op4_token_counts": counts.op4_token_counts,
+        "op5_simhash": simhash.op5_simhash,
     }
 
 
