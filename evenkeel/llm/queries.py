@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, exact, secrets, simhash
+from . import codec, counts, decontaminate, exact, secrets, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op4_token_counts": counts.op4_token_counts,
         "op5_simhash": simhash.op5_simhash,
+        "op6_bpe_codec": codec.op6_bpe_codec,
+        "op7_decontamination": decontaminate.op7_decontamination,
     }
 
 
