@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codec, counts, decontaminate, exact, secrets, simhash
+from . import codec, counts, decontaminate, exact, secrets, simhash, tokenfiles
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op6_bpe_codec": codec.op6_bpe_codec,
         "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_token_files": tokenfiles.op8_token_files,
     }
 
 
