@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codec, counts, decontaminate, exact, secrets, simhash, tokenfiles
+from . import codec, counts, decontaminate, exact, language, secrets, simhash, tokenfiles
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_bpe_codec": codec.op6_bpe_codec,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_token_files": tokenfiles.op8_token_files,
+        "op9_language_id": language.op9_language_id,
     }
 
 
