@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codec, counts, decontaminate, exact, language, secrets, simhash, tokenfiles
+from . import codec, counts, decontaminate, exact, language, quality, secrets, simhash, tokenfiles
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_token_files": tokenfiles.op8_token_files,
         "op9_language_id": language.op9_language_id,
+        "op10_quality": quality.op10_quality,
     }
 
 
