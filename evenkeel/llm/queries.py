@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import codec, counts, decontaminate, exact, language, quality, secrets, simhash, tokenfiles
+from . import codec, counts, decontaminate, exact, language, quality, secrets, simhash, suffixes, tokenfiles
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op4_token_counts": counts.op4_token_counts,
