@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -20,6 +22,7 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     Works by position, so other columns may clash in any way (repeated names, names that
     differ in case only, names that an operator uses itself).
     """
+    ship(df.sparkSession)
     names = df.columns
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
     out = []

@@ -237,7 +237,7 @@ def training_rows(labelled: DataFrame, rows: int = ROWS) -> DataFrame:
     return labelled.join(chosen, (F.col("id") == F.col("id_")) & (F.col("lang") == F.col("lang_"))).select("lang", "text")
 
 
-def fit_language_model(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, margin: float = 1.0) -> LanguageModel:
+def fit_language_model(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, margin: float = 2.0) -> LanguageModel:
     """Model of the labelled rows of docs; `where`, over columns id, lang and text, says which may be learned from."""
     labelled = pick(docs, id=id_col, lang=lang_col, text=text_col).where("lang is not null and text is not null and id is not null")
     if where is not None:
@@ -278,6 +278,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def drop_rejected(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that no language explains; all columns stay."""
+    pick(docs, text=text_col)  # says so if there is no such column
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index(text_col)
 
