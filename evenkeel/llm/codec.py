@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,13 @@ from .bpe import read_ranks
 from .common import by_size, pick, strings
 from .pretoken import pretokens
 
-PART_CHARS = 32 << 20
-SWEEP = 1 << 20
-#: Documents whose positions travel in one row.
+PART_CHARS = 16 << 20
+SWEEP = 1 << 18
+#: Characters of documents whose positions travel in one row.
 ROW_CHARS = 1 << 20
 BUCKETS = 1 << 10
+#: Ids that are decoded at a time.
+DECODE = 300_000
 
 
 @functools.lru_cache(2)
@@ -79,22 +81,30 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Part:
     """Distinct words of a part in order of first sight; positions of its documents."""
 
     def __init__(self):
-        self.words: dict[str, int] = {}
+        self.words = _Numbers()
         self.chars = 0
 
-    def number(self, texts: list[str]):
-        """(start, end, positions, lengths) of slices of texts."""
+    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' pre-tokens in order, and how many each text has."""
+        found, lengths = [], []
         for a, b in by_size(texts, SWEEP):
             pieces, upto = pretokens(texts[a:b])
-            words = self.words
-            for w in dict.fromkeys(pieces):
-                words.setdefault(w, len(words))
-            self.chars += sum(map(len, texts[a:b]))
-            yield a, b, np.fromiter(map(words.__getitem__, pieces), np.uint32, len(pieces)), np.diff(upto)
+            found.append(np.fromiter(map(self.words.__getitem__, pieces), np.uint32, len(pieces)))
+            lengths.append(np.diff(upto))
+        self.chars += sum(map(len, texts))
+        return np.concatenate(found), np.concatenate(lengths)
 
     def in_buckets(self) -> tuple[np.ndarray, list[bytes]]:
         words = [w.encode("utf-8", "surrogatepass") for w in self.words]
@@ -106,9 +116,8 @@ def _parts(batches):
     seq, part = 0, _Part()
     for batch in batches:
         texts, ids = strings(batch.column(1)), batch.column(0)
-        for a, b in by_size(texts, SWEEP):
-            for s, e, positions, lengths in part.number(texts[a:b]):
-                yield seq, part, ids.slice(a + s, e - s), positions, lengths
+        for a, b in by_size(texts, ROW_CHARS):
+            yield seq, part, ids.slice(a, b - a), *part.number(texts[a:b])
             if part.chars >= PART_CHARS:
                 yield seq, part, None, None, None
                 seq, part = seq + 1, _Part()
@@ -166,12 +175,12 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
                     start = e
                     ids = known.get(w)
                     if ids is None:
-                        if len(known) > 1_000_000:
+                        if len(known) > 400_000:
                             known.clear()
-                        ids = known[w] = encode_word(w, ranks)
+                        ids = known[w] = array("I", encode_word(w, ranks)).tobytes()
                     out.append(ids)
-                lengths = np.fromiter(map(len, out), np.uint32, n)
-                flat = np.fromiter(chain.from_iterable(out), np.uint32, int(lengths.sum()))
+                lengths = np.fromiter(map(len, out), np.uint32, n) // np.uint32(4)
+                flat = np.frombuffer(b"".join(out), np.uint32)
                 yield pa.RecordBatch.from_pydict({"part": [part], "kind": pa.array([kind], pa.int32()), "at": [at], "n": [n], "data": [_planes(np.concatenate([lengths, flat]))]})
 
     def place(batches):
@@ -247,12 +256,19 @@ def decode_ids(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", ids_c
     def decode(batches):
         table = {i: b for b, i in ranks_of(rank_file).items()}.__getitem__
         for batch in batches:
-            flat = batch.column(1)
-            offsets = flat.offsets.to_numpy()
-            pieces = list(map(table, flat.values[offsets[0] : offsets[-1]].to_pylist()))
-            cuts = (offsets - offsets[0]).tolist()
-            out = [b"".join(pieces[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat, pa.array(out, pa.binary())], ["id", "ids", "bytes"])
+            n = batch.num_rows
+            offsets = batch.column(1).offsets.to_numpy() if n else np.zeros(1, np.int32)
+            at = 0
+            while at < n:  # some hundred thousand ids at a time, one document at least
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE, "right")) - 1)
+                to = min(to, n)
+                some = batch.slice(at, to - at)
+                values = some.column(1).flatten().to_pylist()
+                pieces = list(map(table, values))
+                cuts = (offsets[at : to + 1] - offsets[at]).tolist()
+                out = [b"".join(pieces[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.binary())], ["id", "ids", "bytes"])
+                at = to
 
     return frame.mapInArrow(decode, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)
 

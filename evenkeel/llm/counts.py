@@ -17,7 +17,7 @@ from .common import by_size, pick, strings
 from .pretoken import pretokens
 
 #: Characters that one sweep of the machines takes.
-SWEEP = 1 << 20
+SWEEP = 1 << 18
 
 
 class Counter:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -93,35 +94,60 @@ def compose_scan(maps: np.ndarray) -> np.ndarray:
     return done
 
 
-def starts_of(kinds: np.ndarray, block: int = 256) -> np.ndarray:
-    """Whether a pre-token starts at each character; resets are one character each."""
+#: Characters after which nearly all blocks have forgotten the state that they began in.
+SETTLE = 24
+
+
+def starts_of(kinds: np.ndarray, block: int = 512) -> np.ndarray:
+    """Whether a pre-token starts at each character; resets are one character each.
+
+    Most blocks reach one state from whatever state they began in within a few characters; from
+    there one state is enough, and only the first characters wait for the scan.
+    """
     n = len(kinds)
     if not n:
         return np.zeros(0, bool)
     table, starts = machine()
+    ahead = (table * CLASSES).astype(np.uint8)  # states are kept multiplied: 11 * 12 + 11 < 256
     block = max(1, min(block, n))
+    settle = min(SETTLE, block)
     rows = -(-n // block)
     grid = np.full(rows * block, RESET, np.uint8)
     grid[:n] = kinds
     columns = np.ascontiguousarray(grid.reshape(rows, block).T)
+    said = np.empty((block, rows), np.uint8)
     maps = np.broadcast_to(np.arange(STATES, dtype=np.uint8) * CLASSES, (rows, STATES)).copy()
-    ahead = (table * CLASSES).astype(np.uint8)  # states are kept multiplied: 11 * 12 + 11 < 256
-    for column in columns:
-        np.take(ahead, maps + column[:, None], out=maps)
+    for column in columns[:settle]:
+        maps = ahead.take(maps + column[:, None])
+    late = np.flatnonzero((maps != maps[:, :1]).any(axis=1))
+    own = maps[late]
+    state = maps[:, 0].copy()
+    for i in range(settle, block):
+        at = state + columns[i]
+        starts.take(at, out=said[i])
+        state = ahead.take(at)
+    for column in columns[settle:, late]:
+        own = ahead.take(own + column[:, None])
+    exits = np.broadcast_to(state[:, None], (rows, STATES)).copy()
+    exits[late] = own
     entry = np.full(rows, FRESH * CLASSES, np.uint8)
     if rows > 1:
-        entry[1:] = compose_scan(maps // CLASSES)[:-1, FRESH] * CLASSES
-    said = np.empty((block, rows), np.uint8)
+        entry[1:] = compose_scan(exits // CLASSES)[:-1, FRESH] * CLASSES
     state = entry
-    for i, column in enumerate(columns):
-        at = state + column
-        said[i] = starts[at]
-        state = ahead[at]
+    for i in range(settle):
+        at = state + columns[i]
+        starts.take(at, out=said[i])
+        state = ahead.take(at)
+    again = state[late]
+    for i in range(settle, block if len(late) else settle):
+        at = again + columns[i, late]
+        said[i, late] = starts.take(at)
+        again = ahead.take(at)
     flat = np.ascontiguousarray(said.T).reshape(-1)
     out = (flat & HERE).astype(bool)[:n]
     before = np.flatnonzero(flat & BEFORE) - 1
     out[before[(before >= 0) & (before < n)]] = True
-    if n == rows * block and state[-1] // CLASSES in (QUOTED_R, QUOTED_V, QUOTED_L):
+    if n == rows * block and exits[-1, entry[-1] // CLASSES] // CLASSES in (QUOTED_R, QUOTED_V, QUOTED_L):
         out[n - 1] = True  # the text ends where a contraction did not
     return out
 
@@ -137,11 +163,17 @@ def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
     gaps = np.cumsum(lengths[:-1] + 1) - 1
     kinds[gaps] = RESET
     begin = starts_of(kinds)
-    begin[gaps] = False  # the separators are no pre-tokens, but they end one
-    at = np.flatnonzero(begin)
-    ends = np.append(at[1:], len(joined))
-    if len(gaps):
-        nxt = np.searchsorted(gaps, at, "left")
-        ends = np.minimum(ends, np.append(gaps, len(joined))[nxt])
-    counts = np.searchsorted(at, np.concatenate([[0], gaps + 1, [len(joined)]]), "left")
-    return [joined[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)], counts
+    begin[gaps] = False  # the separators are no pre-tokens; what follows one starts anyway
+    upto = np.cumsum(begin, dtype=np.int32)
+    edges = np.concatenate([[0], gaps + 1, [len(codes)]])
+    counts = np.where(edges > 0, upto[np.maximum(edges, 1) - 1] if len(codes) else 0, 0).astype(np.int64)
+    # A mark that no text has goes before each pre-token, or takes the place of the separator there.
+    mark = next(c for c in chain(range(1, 9), range(0xE000, 0x110000)) if not (codes == c).any())
+    begin[gaps[gaps + 1 < len(codes)] + 1] = False
+    place = np.cumsum(begin, dtype=np.int32)
+    total = len(codes) + (int(place[-1]) if len(codes) else 0)
+    place += np.arange(len(codes), dtype=np.int32)
+    marked = np.full(total, mark, np.uint32)
+    marked[place] = codes
+    marked[place[gaps]] = mark
+    return list(filter(None, marked.tobytes().decode("utf-32-le", "surrogatepass").split(chr(mark)))), counts
