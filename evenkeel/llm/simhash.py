@@ -171,7 +171,8 @@ def brute_components(rows: list[tuple[int, int]]) -> dict[int, int]:
 
     def find(i):
         while root[i] != i:
-            i = root[i] = root[root[i]]
+            root[i] = root[root[i]]
+            i = root[i]
         return i
 
     fps = np.array([f for _, f in rows], np.uint64)
