@@ -78,7 +78,7 @@ def skew(sizes: Sequence[int]) -> dict[str, float]:
 def skew_columns(size: Column) -> list[Column]:
     """The same as aggregates over a column of partition sizes, one row a partition."""
     listed = F.array_sort(F.collect_list(size.cast("long")))
-    at = lambda p: F.element_at(listed, (F.ceil((F.count(size) - 1) * F.lit(p)) + 1).cast("int")).cast("double")
+    at = lambda p: F.get(listed, F.ceil((F.count(size) - 1) * F.lit(p)).cast("int")).cast("double")
     mean = F.avg(size)
     return [
         F.coalesce(F.max(size).cast("long"), F.lit(0)).alias("max_partition_size"),

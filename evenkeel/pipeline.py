@@ -30,7 +30,7 @@ class Prepared:
 
 
 def _unsigned(spark: SparkSession, dataset: InputDataset, keys: tuple[str, ...]) -> tuple[str, ...]:
-    if dataset.format != "parquet":
+    if dataset.format != "parquet" or not dataset.files:
         return ()
     return tuple(c for c in unsigned_columns(spark, dataset.files[0].path) if c in keys)
 
