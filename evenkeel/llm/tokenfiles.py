@@ -12,7 +12,7 @@ the files are memory-mapped.
 
 The tokenizers library is slow on long texts and the same words recur, so texts are cut at ASCII
 white space, which this vocabulary drops, and each distinct word is encoded once a task. Words of
-plain letters, digits and marks go through merges by rank, all others through the library itself.
+plain letters, digits and marks go through merges by rank, many words at once; all others through the library itself.
 
 Defined cases: null and empty texts hold the end id only; repeated rows each have their place (ties
 in scan order); null ids come first, stored as -1 with a mark; an empty table gives no files.
@@ -31,9 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binaries, new_folder, pick
+from .bpe import PairMerger, byte_letters
+from .common import binaries, by_size, new_folder, pick
 
 ROWS = 1000
+#: Bytes of text whose new words are learned together.
+SWEEP = 2 << 20
 
 
 class WordEncoder:
@@ -49,67 +52,66 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        from .bpe import byte_letters
-
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.vocab = spec["model"]["vocab"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
-        self.letter = {b: c for c, b in byte_letters().items()}
-        self.special = any("<" in t["content"] for t in spec["added_tokens"])
-        self.size = len(self.vocab) + len(spec["added_tokens"])
-        self.words: dict[bytes, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        vocab = spec["model"]["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.merger = PairMerger(np.array([(vocab[a], vocab[b]) for a, b in pairs]), np.array([vocab[a + b] for a, b in pairs]))
+        letter = {b: c for c, b in byte_letters().items()}
+        self.inner, self.last = (np.array([vocab[letter[b] + end] for b in range(256)], np.int32) for end in ("", "</w>"))
+        self.size = len(vocab) + len(spec["added_tokens"])
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.remember = remember
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            parts = [self.letter[b] for b in piece.encode()]
-            parts[-1] += "</w>"
-            ranks, none = self.ranks, len(self.ranks)
-            costs = [ranks.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-            while costs:
-                best = min(costs)
-                if best == none:
-                    break
-                i = costs.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del costs[i]
-                if i:
-                    costs[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
-                if i < len(costs):
-                    costs[i] = ranks.get((parts[i], parts[i + 1]), none)
-            if len(self.pieces) > self.remember:
-                self.pieces.clear()
-            ids = self.pieces[piece] = [self.vocab[p] for p in parts]
-        return ids
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Ids of pre-tokens, many at a time, of like lengths together."""
+        pieces = sorted(pieces, key=len)
+        for a in range(0, len(pieces), 8192):
+            some = [p.encode() for p in pieces[a : a + 8192]]
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            data = np.frombuffer(b"".join(some), np.uint8)
+            rows = np.full((len(some), int(size.max())), -1, np.int32)
+            inside = np.arange(rows.shape[1]) < size[:, None]
+            rows[inside] = self.inner[data]
+            ends = np.cumsum(size) - 1
+            rows[np.arange(len(some)), size - 1] = self.last[data[ends]]
+            done = self.merger.merge(rows)
+            count = (done >= 0).sum(axis=1)
+            flat, cuts = done[done >= 0].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(count * 4)]).tolist()
+            self.pieces.update(zip(pieces[a : a + 8192], (flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
     def learn(self, words: list[bytes]) -> None:
-        hard = []
+        hard, plain = [], []
         for w in words:
             text = w.decode()
-            if self.PLAIN.fullmatch(text) and "<|" not in text:
-                low = text.lower()
-                self.words[w] = np.array([i for p in self.PIECES.findall(low) for i in self.piece(p)], np.uint32).tobytes()
-            else:
-                hard.append((w, text))
+            (plain if self.PLAIN.fullmatch(text) and "<|" not in text else hard).append((w, text))
+        parts = [self.PIECES.findall(t.lower()) for _, t in plain]
+        if len(self.pieces) > self.remember:
+            self.pieces.clear()
+        self.learn_pieces(list({p for ps in parts for p in ps if p not in self.pieces}))
+        known = self.pieces
+        for (w, _), ps in zip(plain, parts, strict=True):
+            self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
         for (w, _), e in zip(hard, self.library.encode_batch([t for _, t in hard], add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, np.uint32).tobytes()
 
+    def many(self, texts: list[bytes]):
+        """Token ids of each text; new words of several texts are learned together."""
+        for a, b in by_size(texts, SWEEP):
+            words = [t.split() for t in texts[a:b]]
+            if len(self.words) > self.remember:
+                self.words.clear()
+            new = set().union(*words).difference(self.words)
+            if new:
+                self.learn(list(new))
+            known = self.words.__getitem__
+            for w in words:
+                yield np.frombuffer(b"".join(map(known, w)), np.uint32)
+
     def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        known = self.words
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > self.remember:
-                known.clear()
-                found = [None] * len(words)
-            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = list(map(known.__getitem__, words))
-        return np.frombuffer(b"".join(found), np.uint32)
+        return next(self.many([text]))
 
 
 @functools.lru_cache(1)
@@ -178,8 +180,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
                 mark = f".{os.getpid()}.{os.urandom(4).hex()}"
                 out = open(f"{name}.bin{mark}", "wb")
             ids.append(batch.column(0).fill_null(-1).to_numpy())
-            for text in binaries(batch.column(1)):
-                found = np.append(encode(text), np.uint32(end_id)).astype(kind)
+            for found in encode.many(binaries(batch.column(1))):
+                found = np.append(found, np.uint32(end_id)).astype(kind)
                 out.write(found.tobytes())
                 n += len(found)
                 sizes.append(n)
