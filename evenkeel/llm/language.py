@@ -212,7 +212,7 @@ def kneser_ney(counts: dict[str, dict[str, int]], discount: float = 0.75) -> Lan
             prob = now
         weights.append(own)
     contexts = [sorted(set().union(*(w[o] for w in weights))) if languages else [] for o in range(ORDER - 1)]
-    backoff = [np.array([[w[o].get(c, 0.0) for w in weights] for c in contexts[o]], np.float32).reshape(-1, len(languages)) for o in range(ORDER - 1)]
+    backoff = [np.array([[w[o].get(c, 0.0) for w in weights] for c in contexts[o]], np.float32).reshape(len(contexts[o]), len(languages)) for o in range(ORDER - 1)]
 
     def ordered(grams: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not grams:
