@@ -47,7 +47,12 @@ def plan_dataset(spark: SparkSession, config: Config, dataset: InputDataset | No
     if config.job.type == "join" and config.join:
         right = right or read_dataset(spark, config.join.right_input, config.dataset.input_format)
         other = side_statistics(config, right, config.join.join_keys, _unsigned(spark, right, config.join.join_keys))
-    return build_plan(spark, config, left, other), dataset, unsigned
+    try:
+        return build_plan(spark, config, left, other), dataset, unsigned
+    finally:  # the plan holds what it needs
+        for side in (left, other):
+            if side:
+                side.counted.unpersist()
 
 
 def run(spark: SparkSession, config: Config, salting: str = "round_robin") -> Prepared:

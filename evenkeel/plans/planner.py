@@ -39,6 +39,7 @@ class SideStatistics:
     candidates: list[str]
     detection: dict[str, Any]
     frequencies: DataFrame
+    counted: DataFrame  # exact counts, kept while planning
     warnings: list[str] = field(default_factory=list)
 
     @property
@@ -82,7 +83,7 @@ def side_statistics(config: Config, dataset: InputDataset, keys: tuple[str, ...]
     return SideStatistics(
         size, dataset.files, rows, distinct, mean, int(summary["max_key_frequency"]), goal, width,
         st.size_list(st.partition_sizes(exact_counts, goal.partitions, p.seed)),
-        heavy, [h["key"] for h in heavy if "above_mean_threshold" in h["reasons"]], detection, frequencies, warnings,
+        heavy, [h["key"] for h in heavy if "above_mean_threshold" in h["reasons"]], detection, frequencies, exact_counts, warnings,
     )
 
 
