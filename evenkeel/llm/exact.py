@@ -85,7 +85,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_number")
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_number", "n_chunks")
 
 
 OP3_SQL = r"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.OP3_SQL}
+    return {"op3_exact_dedup": exact.OP3_SQL, "op7_decontamination": decontaminate.OP7_SQL}
