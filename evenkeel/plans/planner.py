@@ -74,7 +74,11 @@ def side_statistics(config: Config, dataset: InputDataset, keys: tuple[str, ...]
         distinct = int(totals["distinct_keys"])
         detection = {"mode": "exact", "capacity": config.statistics.approximate_capacity, "error_bound": "0", "exact": True, "frequencies_truncated": False, "summary_size": distinct, "max_error": 0}
     detection["observed_total_rows"] = rows
-    heavy_rows = st.heavy_keys(frequencies, p.heavy_key_alpha, goal.target_rows).orderBy("key").collect()  # at most rows / min(target_rows, alpha * mean) keys
+    # Keys above the target are few (rows / target rows at most); of those only above the mean rule the most frequent count.
+    found = st.heavy_keys(frequencies, p.heavy_key_alpha, goal.target_rows)
+    heavy_rows = sorted(found.orderBy(F.desc("frequency"), "key").limit(p.max_placed_keys).collect(), key=lambda r: r["key"].encode())
+    if len(heavy_rows) == p.max_placed_keys:
+        warnings.append("heavy_keys_limited_to_most_frequent")
     heavy = [
         {"key": r["key"], "parts": [x.asDict() for x in r["parts"]], "frequency": int(r["frequency"]), "reasons": list(r["reasons"]), "salt_count": int(r["salt_count"])}
         for r in heavy_rows
@@ -304,7 +308,7 @@ def statistics_document(config: Config, left: SideStatistics, right: SideStatist
         "skew": before,
         "partition_bound": bound(left.target.target_rows, left.before),
         "estimates": {"target_partitions": left.target.partitions, "before_partition_sizes": left.before, "after_partition_sizes": planned},
-        "resources": {"configured_local_threads": r.local_threads, "local_threads_used": r.local_threads, "parallel_execution_enabled": r.local_threads > 1, "configured_memory_limit_mb": r.memory_limit_mb, "estimated_dataset_size_mb": mb, "in_memory_processing_used": False, "memory_limit_exceeded": bool(left.warnings), "warnings": left.warnings},
+        "resources": {"configured_local_threads": r.local_threads, "local_threads_used": r.local_threads, "parallel_execution_enabled": r.local_threads > 1, "configured_memory_limit_mb": r.memory_limit_mb, "estimated_dataset_size_mb": mb, "in_memory_processing_used": False, "memory_limit_exceeded": mb is not None and mb > r.memory_limit_mb, "warnings": left.warnings},
         "timing": None,
     }
 
