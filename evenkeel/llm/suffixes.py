@@ -199,7 +199,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rows[doc]), pa.array(at)], ["h", "row", "at"])
 
     places = frame.select("text", "row").mapInArrow(find, "h long, row long, at long")
-    shared = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written out, so that the join below has an exchange on both sides and a hot lead's places can be split.
+    shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "leads")
     flagged = places.join(shared, "h", "left_semi").groupBy("row").agg(F.collect_set("at").alias("ats")).withColumnRenamed("row", "row_")
 
     def finish(batches):
