@@ -94,7 +94,7 @@ class _Part:
 
     def __init__(self):
         self.words = _Numbers()
-        self.chars = 0
+        self.chars = self.docs = 0
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the texts' pre-tokens in order, and how many each text has."""
@@ -104,6 +104,7 @@ class _Part:
             found.append(np.fromiter(map(self.words.__getitem__, pieces), np.uint32, len(pieces)))
             lengths.append(np.diff(upto))
         self.chars += sum(map(len, texts))
+        self.docs += len(texts)
         return np.concatenate(found), np.concatenate(lengths)
 
     def in_buckets(self) -> tuple[np.ndarray, list[bytes]]:
@@ -121,7 +122,7 @@ def _parts(batches):
             if part.chars >= PART_CHARS:
                 yield seq, part, None, None, None
                 seq, part = seq + 1, _Part()
-    if part.chars or part.words:
+    if part.docs:  # of null or empty texts alone, too: their rows wait for the part's end
         yield seq, part, None, None, None
 
 

@@ -100,6 +100,19 @@ def test_codec(rows, docs, clashing, empty, reference_encoding, monkeypatch):
     assert run(docs) == want
 
 
+def test_codec_of_empty_texts_alone(spark, reference_encoding, monkeypatch):
+    """Tasks without a word, and a part that ends just before empty texts."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    run = lambda rows: by_id(codec.decode_ids(codec.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path), path), "doc_id", "ids", "bytes")
+    want = lambda rows: sorted(((i, reference_encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
+    for rows in ([(1, "")], [(1, None)], [(i, [None, ""][i % 2]) for i in range(50)]):
+        assert run(rows) == want(rows)
+    monkeypatch.setattr(codec, "PART_CHARS", 300)
+    monkeypatch.setattr(codec, "ROW_CHARS", 100)
+    rows = [(0, None), (1, "sun and moon " * 30), (2, ""), (3, None), (4, "")]
+    assert run(rows) == want(rows)
+
+
 def test_encode_word(reference_encoding):
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     for w in {w for t in random_texts(200, 200, "abcdefghij klmnopqrstuvwxyzé") for w in PATTERN.findall(t)}:
