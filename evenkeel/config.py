@@ -70,8 +70,8 @@ class Partitioning:
     normal_key_assignment: str = "load_aware"
     force_rewrite: bool = False
     no_op_max_imbalance_ratio: float = 1.2
-    #: Distinct keys that are placed one by one; those beyond it (the rarest) go by hash.
-    max_placed_keys: int = 1_000_000
+    #: Ordinary keys that are placed one by one, the rest (the rarest) going by hash, where that is asked for; None: all.
+    max_placed_keys: int | None = None
 
     def __post_init__(self):
         if all(_blank(k) for k in self.key_columns):

@@ -13,13 +13,16 @@ from ..errors import FileSizeBalancingNotImplemented, ResourceLimitExceeded
 from ..functions.arithmetic import imbalance, mb_to_bytes, skew
 from ..functions.hashing import partition_id_column
 from ..operators import statistics as st
+from ..session import scratch_folder
 from ..sources.files import InputDataset, InputFile
 from ..sources.sinks import VERSION
-from .placement import Loads, place_normal, place_salts
+from .placement import Loads, place_each, place_salts
 from .targeting import Target, target
 
 #: Keys that metadata documents list; the whole table is written beside them.
 LISTED_KEYS = 10_000
+#: Placed keys that the driver holds at a time; a plan of more becomes a table in the shared folder.
+PLACED_BATCH = 100_000
 
 
 @dataclass
@@ -74,11 +77,8 @@ def side_statistics(config: Config, dataset: InputDataset, keys: tuple[str, ...]
         distinct = int(totals["distinct_keys"])
         detection = {"mode": "exact", "capacity": config.statistics.approximate_capacity, "error_bound": "0", "exact": True, "frequencies_truncated": False, "summary_size": distinct, "max_error": 0}
     detection["observed_total_rows"] = rows
-    # Keys above the target are few (rows / target rows at most); of those only above the mean rule the most frequent count.
-    found = st.heavy_keys(frequencies, p.heavy_key_alpha, goal.target_rows)
-    heavy_rows = sorted(found.orderBy(F.desc("frequency"), "key").limit(p.max_placed_keys).collect(), key=lambda r: r["key"].encode())
-    if len(heavy_rows) == p.max_placed_keys:
-        warnings.append("heavy_keys_limited_to_most_frequent")
+    # All of them, as documents and join plans list them: distinct keys / alpha and rows / target rows at most.
+    heavy_rows = sorted(st.heavy_keys(frequencies, p.heavy_key_alpha, goal.target_rows).collect(), key=lambda r: r["key"].encode())
     heavy = [
         {"key": r["key"], "parts": [x.asDict() for x in r["parts"]], "frequency": int(r["frequency"]), "reasons": list(r["reasons"]), "salt_count": int(r["salt_count"])}
         for r in heavy_rows
@@ -193,6 +193,23 @@ def _heavy_document(h: dict[str, Any], salts: list[int] | None) -> dict[str, Any
     return {"key": h["key"], "structured_key": _plan_key(h), "estimated_frequency": h["frequency"], "detection_reasons": h["reasons"], "salt_count": len(salts) if salts else 1, "salt_partitions": [{"salt_index": i, "partition_id": p} for i, p in enumerate(salts or [])]}
 
 
+def place_all(spark: SparkSession, ordered: DataFrame, loads: Loads, seed: int) -> tuple[DataFrame, int]:
+    """(key, frequency, partition_id; how many) of sorted (key, frequency), which stream through the driver."""
+    schema, folder, count, batch = "key string, frequency long, partition_id int", None, 0, []
+    for row in place_each(((r["key"], int(r["frequency"])) for r in ordered.toLocalIterator()), loads, seed):
+        if len(batch) == PLACED_BATCH:
+            folder = folder or scratch_folder(spark, "placed")
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+            batch = []
+        batch.append(row)
+        count += 1
+    frame = spark.createDataFrame(batch, schema)
+    if folder is None:
+        return frame, count
+    frame.coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder), count
+
+
 def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right: SideStatistics | None = None) -> Plan:
     p, n = config.partitioning, left.target.partitions
     if p.strategy == "file_size_balancing":
@@ -201,8 +218,7 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
     heavy_frame = spark.createDataFrame([(k,) for k in heavy_names], "key string")
     loads = Loads([0] * n)
     complete, notes, mode = left.exact, [], p.normal_key_assignment
-    normal: dict[str, int] = {}
-    normal_frame, placed_all = None, True
+    listed, normal_frame, normal_count, placed_all = [], None, 0, True
     if not left.exact:
         notes.append("normal_key_frequencies_truncated")
         if mode == "load_aware":
@@ -211,21 +227,22 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
     else:
         ordinary = left.frequencies.select("key", "frequency").join(heavy_frame, "key", "left_anti")
         if mode == "load_aware":
-            top = ordinary.orderBy(F.desc("frequency"), "key").limit(p.max_placed_keys)
-            rows = [(r["key"], int(r["frequency"])) for r in top.collect()]  # bounded by max_placed_keys
-            placed_all = len(rows) < p.max_placed_keys
-            if not placed_all:  # the rarest go by hash; their loads are known before any key is placed
+            ordered = ordinary.orderBy(F.desc("frequency"), "key")
+            placed_all = p.max_placed_keys is None or left.distinct_keys - len(left.heavy) <= p.max_placed_keys
+            if not placed_all:  # as asked for, the rarest go by hash; their loads are known before any key is placed
                 notes.append("load_aware_normal_assignment_limited_to_most_frequent_keys")
-                last = rows[-1]
-                rest = ordinary.where((F.col("frequency") < last[1]) | ((F.col("frequency") == last[1]) & (F.col("key") > last[0])))
+                ordered = ordered.limit(p.max_placed_keys)
+                last = ordered.orderBy("frequency", F.desc("key")).first()
+                rest = ordinary.where((F.col("frequency") < last["frequency"]) | ((F.col("frequency") == last["frequency"]) & (F.col("key") > last["key"])))
                 loads = Loads(st.size_list(st.partition_sizes(rest, n, p.seed)))
-            normal = place_normal(rows, loads, p.seed)
-            frequency = dict(rows)
-            normal_frame = spark.createDataFrame(list(normal.items()), "key string, partition_id int")
+                ordered = ordered.orderBy(F.desc("frequency"), "key")
+            placed, normal_count = place_all(spark, ordered, loads, p.seed)
+            normal_frame = placed.select("key", "partition_id")
+            listed = placed.orderBy("key").limit(LISTED_KEYS).collect()
         else:
             loads = Loads(st.size_list(st.partition_sizes(ordinary, n, p.seed)))
             listed = ordinary.withColumn("partition_id", partition_id_column(F.col("key"), p.seed, n)).orderBy(F.desc("frequency"), "key").limit(LISTED_KEYS).collect()
-            normal, frequency = {r["key"]: r["partition_id"] for r in listed}, {r["key"]: int(r["frequency"]) for r in listed}
+            normal_count = len(listed)
     salts = place_salts(((h["key"], h["frequency"]) for h in left.heavy), loads, left.target.target_rows, p.seed)
     rewrite, reason = rewrite_decision(config.job.type, p.force_rewrite, bool(left.heavy), complete, left.before, loads.sizes, left.target.target_rows, p.no_op_max_imbalance_ratio)
     joined = join_plan(config, left, right)
@@ -251,8 +268,8 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
         "normal_key_assignment": mode,
         "normal_key_assignment_complete": complete,
         "normal_key_assignment_notes": notes,
-        "normal_keys": [{"key": k, "estimated_frequency": frequency[k], "partition_id": i} for k, i in sorted(normal.items(), key=lambda x: x[0].encode())[:LISTED_KEYS]],
-        "normal_keys_listed_all": len(normal) < LISTED_KEYS and placed_all,
+        "normal_keys": [{"key": r["key"], "estimated_frequency": int(r["frequency"]), "partition_id": r["partition_id"]} for r in sorted(listed, key=lambda r: r["key"].encode())],
+        "normal_keys_listed_all": normal_count < LISTED_KEYS and placed_all,
         "heavy_keys": [_heavy_document(h, salts[h["key"]]) for h in left.heavy],
         "recommended_downstream_plan": recommendation(config, joined),
         "join_plan": joined,
@@ -262,7 +279,7 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
         "seed": p.seed,
     }
     salt_frame = spark.createDataFrame([(k, len(v), v) for k, v in salts.items()], "key string, salt_count int, partitions array<int>")
-    return Plan(document, statistics_document(config, left, right, loads.sizes, salts), n, p.seed, normal_frame, len(normal), salt_frame, left.heavy)
+    return Plan(document, statistics_document(config, left, right, loads.sizes, salts), n, p.seed, normal_frame, normal_count, salt_frame, left.heavy)
 
 
 def bound(target_rows: int, before: list[int], after: list[int] | None = None) -> dict[str, Any]:
@@ -282,7 +299,8 @@ def statistics_document(config: Config, left: SideStatistics, right: SideStatist
     listed = {x["key"]: int(x["frequency"]) for x in left.frequencies.select("key", "frequency").orderBy(F.desc("frequency"), "key").limit(LISTED_KEYS).collect()}
     before = skew(left.before)
     heavy = [_heavy_document(h, salts.get(h["key"])) for h in left.heavy]
-    candidates = [_heavy_document(h, None) for h in left.heavy if h["key"] in set(left.candidates)]
+    names = set(left.candidates)
+    candidates = [_heavy_document(h, None) for h in left.heavy if h["key"] in names]
     return {
         "version": VERSION,
         "input": {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,6 +29,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path in spark.checkpoint.dir, which driver and executors share; a local one only for local masters."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = os.path.join(tempfile.gettempdir(), f"evenkeel-{os.getuid()}-{os.getpid()}")
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for one machine: adaptive execution on, UTC, as many shuffle partitions as asked for."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("evenkeel")

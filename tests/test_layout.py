@@ -164,6 +164,21 @@ def test_only_the_most_frequent_keys_are_placed_one_by_one(spark):
     assert sum(sizes) == 1275 and max(sizes) <= max(plan.statistics["estimates"]["after_partition_sizes"])
 
 
+def test_all_keys_are_placed_and_all_heavy_keys_kept(spark, monkeypatch):
+    assert config().partitioning.max_placed_keys is None
+    counts = {f"k{i}": 50 - i // 2 for i in range(50)}
+    d = memory(spark, [k for k, n in counts.items() for _ in range(n)])
+    monkeypatch.setattr(planner, "PLACED_BATCH", 7, raising=False)
+    plan, _, _ = pipeline.plan_dataset(spark, config(partitioning={"heavy_key_alpha": 100.0, "force_rewrite": True}, most=8), d)
+    loads = Loads([0] * plan.partitions)
+    want = place_normal([(f"7:user_id#utf8:{len(k)}:{k}", n) for k, n in counts.items()], loads, 42)
+    assert {r["key"]: r["partition_id"] for r in plan.normal.collect()} == want and plan.normal_count == 50 and not plan.heavy
+    assert plan.statistics["estimates"]["after_partition_sizes"] == loads.sizes and not plan.document["normal_key_assignment_notes"]
+    d = memory(spark, [f"h{i}" for i in range(5) for _ in range(40)] + [f"n{i}" for i in range(60)])
+    plan, _, _ = pipeline.plan_dataset(spark, config(partitioning={"max_placed_keys": 2}), d)
+    assert [h["key"][-2:] for h in plan.heavy] == [f"h{i}" for i in range(5)] and len(plan.statistics["input"]["heavy_hitters"]) == 5
+
+
 def test_placement_against_a_plain_loop():
     import random
 
