@@ -76,12 +76,15 @@ def assign(frame: DataFrame, plan: Plan, keys: Sequence[str], unsigned: Iterable
     return ordinary.unionByName(hot)
 
 
-def partitions_of_key(plan_document: dict, encoded: str) -> list[int]:
-    """Partitions that may hold a key: for point look-ups that prune partition folders."""
+def partitions_of_key(plan_document: dict, encoded: str, keys: DataFrame | None = None) -> list[int]:
+    """Partitions that may hold a key: for point look-ups that prune partition folders. keys: the plan's table, for keys that the document does not list."""
     for h in plan_document["heavy_keys"]:
         if h["key"] == encoded:
             return sorted({s["partition_id"] for s in h["salt_partitions"]})
     for k in plan_document["normal_keys"]:
         if k["key"] == encoded:
             return [k["partition_id"]]
+    found = keys.where((F.col("key") == encoded) & F.col("partition_id").isNotNull()).first() if keys is not None else None
+    if found:
+        return [found["partition_id"]]
     return list(range(plan_document["output_partitions"]))

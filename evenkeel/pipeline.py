@@ -75,5 +75,5 @@ def run(spark: SparkSession, config: Config, salting: str = "round_robin") -> Pr
     else:
         done = reused_manifest(dataset, plan.statistics["estimates"]["before_partition_sizes"])
     plan.statistics["timing"] = {"read_seconds": 0.0, "statistics_seconds": planned - begun, "planning_seconds": 0.0, "assignment_seconds": 0.0, "writing_seconds": written - planned, "total_seconds": time.time() - begun}
-    write_metadata(spark, out.path, plan.document, plan.statistics, done)
+    write_metadata(spark, out.path, plan.document, plan.statistics, done, plan.keys)
     return Prepared(plan, plan.statistics, done, out.path)

@@ -14,12 +14,12 @@ from ..functions.arithmetic import imbalance, mb_to_bytes, skew
 from ..functions.hashing import partition_id_column
 from ..operators import statistics as st
 from ..session import scratch_folder
-from ..sources.files import InputDataset, InputFile
-from ..sources.sinks import VERSION
+from ..sources.files import InputDataset, InputFile, read_json
+from ..sources.sinks import KEY_TABLE, VERSION
 from .placement import Loads, place_each, place_salts
 from .targeting import Target, target
 
-#: Keys that metadata documents list; the whole table is written beside them.
+#: Keys that metadata documents list; the whole table is written beside them (KEY_TABLE).
 LISTED_KEYS = 10_000
 #: Placed keys that the driver holds at a time; a plan of more becomes a table in the shared folder.
 PLACED_BATCH = 100_000
@@ -103,6 +103,7 @@ class Plan:
     normal_count: int
     salts: DataFrame  # key, salt_count, partitions (by salt)
     heavy: list[dict[str, Any]]
+    keys: DataFrame  # key, frequency, partition_id of all keys; null for heavy ones, whose salts the document lists
 
     @property
     def rewrite(self) -> bool:
@@ -219,6 +220,8 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
     loads = Loads([0] * n)
     complete, notes, mode = left.exact, [], p.normal_key_assignment
     listed, normal_frame, normal_count, placed_all = [], None, 0, True
+    by_hash = partition_id_column(F.col("key"), p.seed, n).cast("int").alias("partition_id")
+    others = left.frequencies.select("key", "frequency").join(heavy_frame, "key", "left_anti").select("key", "frequency", by_hash)
     if not left.exact:
         notes.append("normal_key_frequencies_truncated")
         if mode == "load_aware":
@@ -239,10 +242,11 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
             placed, normal_count = place_all(spark, ordered, loads, p.seed)
             normal_frame = placed.select("key", "partition_id")
             listed = placed.orderBy("key").limit(LISTED_KEYS).collect()
+            others = placed if placed_all else placed.unionByName(rest.select("key", "frequency", by_hash))
         else:
             loads = Loads(st.size_list(st.partition_sizes(ordinary, n, p.seed)))
             listed = ordinary.withColumn("partition_id", partition_id_column(F.col("key"), p.seed, n)).orderBy(F.desc("frequency"), "key").limit(LISTED_KEYS).collect()
-            normal_count = len(listed)
+            normal_count = left.distinct_keys - len(left.heavy)
     salts = place_salts(((h["key"], h["frequency"]) for h in left.heavy), loads, left.target.target_rows, p.seed)
     rewrite, reason = rewrite_decision(config.job.type, p.force_rewrite, bool(left.heavy), complete, left.before, loads.sizes, left.target.target_rows, p.no_op_max_imbalance_ratio)
     joined = join_plan(config, left, right)
@@ -269,7 +273,8 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
         "normal_key_assignment_complete": complete,
         "normal_key_assignment_notes": notes,
         "normal_keys": [{"key": r["key"], "estimated_frequency": int(r["frequency"]), "partition_id": r["partition_id"]} for r in sorted(listed, key=lambda r: r["key"].encode())],
-        "normal_keys_listed_all": normal_count < LISTED_KEYS and placed_all,
+        "normal_keys_listed_all": normal_count == len(listed) and placed_all,
+        "key_table": KEY_TABLE,
         "heavy_keys": [_heavy_document(h, salts[h["key"]]) for h in left.heavy],
         "recommended_downstream_plan": recommendation(config, joined),
         "join_plan": joined,
@@ -278,8 +283,23 @@ def build_plan(spark: SparkSession, config: Config, left: SideStatistics, right:
         "hash_function": "fnv1a64_seeded",
         "seed": p.seed,
     }
-    salt_frame = spark.createDataFrame([(k, len(v), v) for k, v in salts.items()], "key string, salt_count int, partitions array<int>")
-    return Plan(document, statistics_document(config, left, right, loads.sizes, salts), n, p.seed, normal_frame, normal_count, salt_frame, left.heavy)
+    salt_frame = _salt_frame(spark, salts)
+    keys = others.unionByName(spark.createDataFrame([(h["key"], h["frequency"], None) for h in left.heavy], "key string, frequency long, partition_id int"))
+    return Plan(document, statistics_document(config, left, right, loads.sizes, salts), n, p.seed, normal_frame, normal_count, salt_frame, left.heavy, keys)
+
+
+def _salt_frame(spark: SparkSession, salts: dict[str, list[int]]) -> DataFrame:
+    return spark.createDataFrame([(k, len(v), v) for k, v in salts.items()], "key string, salt_count int, partitions array<int>")
+
+
+def stored_plan(spark: SparkSession, folder: str) -> Plan:
+    """The plan of a prepared dataset, from its documents and its table of keys."""
+    document, statistics = (read_json(spark, f"{folder}/{name}.json") for name in ("_partition_plan", "_stats"))
+    keys = spark.read.parquet(f"{folder}/{document['key_table']}")
+    normal = keys.where("partition_id is not null").select("key", "partition_id")
+    salts = {h["key"]: [s["partition_id"] for s in h["salt_partitions"]] for h in document["heavy_keys"]}
+    heavy = [{"key": h["key"], "parts": h["structured_key"]["parts"], "frequency": h["estimated_frequency"], "reasons": h["detection_reasons"], "salt_count": h["salt_count"]} for h in document["heavy_keys"]]
+    return Plan(document, statistics, document["output_partitions"], document["seed"], normal, normal.count(), _salt_frame(spark, salts), heavy, keys)
 
 
 def bound(target_rows: int, before: list[int], after: list[int] | None = None) -> dict[str, Any]:
@@ -310,7 +330,8 @@ def statistics_document(config: Config, left: SideStatistics, right: SideStatist
             "estimated_row_width_bytes": left.width,
             "distinct_keys": left.distinct_keys,
             "key_frequencies_exact": left.exact,
-            "key_frequencies_truncated": not left.exact,
+            "key_frequencies_truncated": not left.exact or len(listed) < left.distinct_keys,
+            "key_table": KEY_TABLE,
             "normal_keys_materialized": left.exact,
             "mean_key_frequency": left.mean,
             "max_key_frequency": left.most,

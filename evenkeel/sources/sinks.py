@@ -14,6 +14,8 @@ from .files import InputDataset, _hadoop
 
 PARTITION_DIR = "rp_partition"
 VERSION = "0.2.0"
+#: The table of all keys beside the documents; readers of the layout pass over names that begin so.
+KEY_TABLE = "_keys.parquet"
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -81,8 +83,9 @@ def reused_manifest(dataset: InputDataset, before_sizes: list[int]) -> dict[str,
     }
 
 
-def write_metadata(spark: SparkSession, folder: str, plan: dict, stats: dict, manifest_: dict) -> None:
-    """The three documents, after the data, which a later overwrite would take along."""
+def write_metadata(spark: SparkSession, folder: str, plan: dict, stats: dict, manifest_: dict, keys: DataFrame) -> None:
+    """The table of keys (key, frequency, partition_id) and the three documents, after the data, which a later overwrite would take along."""
+    keys.write.mode("overwrite").parquet(f"{folder}/{KEY_TABLE}")
     for name, value in (("_partition_plan", plan), ("_stats", stats), ("_manifest", manifest_)):
         write_json(spark, f"{folder}/{name}.json", value)
 

@@ -179,6 +179,28 @@ def test_all_keys_are_placed_and_all_heavy_keys_kept(spark, monkeypatch):
     assert [h["key"][-2:] for h in plan.heavy] == [f"h{i}" for i in range(5)] and len(plan.statistics["input"]["heavy_hitters"]) == 5
 
 
+@pytest.mark.parametrize("mode", ["load_aware", "hash"])
+def test_all_keys_are_stored(spark, tmp_path, monkeypatch, mode):
+    monkeypatch.setattr(planner, "LISTED_KEYS", 5)
+    values = [f"k{i}" for i in range(30)] * 2 + ["hot"] * 80
+    spark.createDataFrame([(v,) for v in values], "user_id string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    own = config(partitioning={"heavy_key_alpha": 5.0, "normal_key_assignment": mode}, dataset={"input": str(tmp_path / "in")}, output={"path": str(tmp_path / "out")})
+    done = pipeline.run(spark, own)
+    plan = planner.stored_plan(spark, done.path)
+    assert plan.statistics["input"]["key_frequencies_truncated"] and not plan.document["normal_keys_listed_all"] and len(plan.document["normal_keys"]) == 5
+    stored = {r["key"]: (r["frequency"], r["partition_id"]) for r in spark.read.parquet(f"{done.path}/{plan.document['key_table']}").collect()}
+    assert len(stored) == 31 and stored["7:user_id#utf8:3:hot"] == (80, None) and plan.heavy == done.plan.heavy
+    where = {}
+    for r in done.frame(spark).select("user_id", "_rp_partition_id").distinct().collect():
+        where.setdefault(f"7:user_id#utf8:{len(r[0])}:{r[0]}", []).append(r[1])
+    for key, (frequency, _) in stored.items():
+        held = partitions_of_key(plan.document, key, plan.keys)
+        assert sorted(where[key]) == held if frequency == 2 else set(where[key]) <= set(held)
+    again = assign(spark.read.parquet(str(tmp_path / "in")), plan, ["user_id"])
+    first = assign(spark.read.parquet(str(tmp_path / "in")), done.plan, ["user_id"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+
+
 def test_placement_against_a_plain_loop():
     import random
 
