@@ -2,9 +2,10 @@
 
 The values the base patterns find are the labelled credentials. A prefix tree of each label's
 strings is folded into a probabilistic automaton by merging states whose end and transition
-frequencies are statistically compatible (Hoeffding bound); the same is done for ordinary long
-tokens. Every other candidate token is then scored by bits a character under each format's
-automaton against the ordinary one, and reported where a format explains it clearly better.
+frequencies are statistically compatible (Hoeffding bound); the same is done for ordinary
+tokens. Every other token of SHORTEST characters (the shortest credential) or more is then scored by
+bits a character under each format's automaton against the ordinary one, and reported where a
+format explains it clearly better.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each for itself;
 an empty table gives an empty result (and an empty model); positions are code points.
@@ -32,7 +33,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 LEARNED = "learned"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Characters of the shortest credential that a base pattern finds; no token that may be one is shorter.
+SHORTEST = 6
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 
 #: Distinct strings a label may give to its automaton; a documented bound on the training sample.
 SAMPLE = 2000
@@ -44,14 +47,14 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
     dropping short matches afterwards; assignments are filtered after matching."""
     low, found = text.lower(), []
     if any(k in low for k in KEYWORDS):  # most texts have none, and finding that out is far cheaper than the pattern
-        found = [(m.start(), 0, "assign", m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        found = [(m.start(), 0, "assign", m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= SHORTEST]
     found += [(m.start(), 1, "access", m.end(), m.start()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, "hex", m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
 def other_candidates(text: str, base: list) -> Iterator[tuple[int, int]]:
-    """Long tokens that no base span overlaps."""
+    """Tokens of SHORTEST characters or more that no base span overlaps."""
     spans = sorted((s, e) for s, _, _, e, _ in base)
     at, reach = 0, -1
     for m in CANDIDATE.finditer(text):

@@ -38,6 +38,23 @@ def test_scan(rows, docs, clashing, empty):
     assert secrets.scan_secrets(empty, secrets.fit_secret_model(empty)).collect() == []
 
 
+def test_short_credentials_are_learned(spark):
+    """Of 6 to 15 characters, and outside an assignment, among many ordinary words."""
+    rng = random.Random(3)
+    parts = "con sid er able ac know ledge ment tion ing pre sent re main der form al ity".split()
+    prose = lambda n: " ".join("".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(n))
+    credential = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    rows = [(i, f"{prose(20)} password={credential(10 + i % 4)} {prose(20)}") for i in range(400)]
+    rows += [(1000 + i, f"{prose(10)} Bearer {credential(12)} {prose(10)}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, found = dict(rows), []
+    for r in secrets.scan_secrets(docs, secrets.fit_secret_model(docs)).collect():
+        found += [(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"] if s["kind"] == secrets.LEARNED]
+    wanted = {(i, t.split("Bearer ")[1].split()[0]) for i, t in rows if i >= 1000}
+    others = {t for _, t in set(found) - wanted}
+    assert len(wanted & set(found)) >= 15 and others <= {"Bearer"}  # the one word with a capital, which nothing ordinary explains
+
+
 def test_grammar_tells_formats_apart():
     rng = random.Random(1)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
