@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
@@ -54,15 +57,71 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"evenkeel-{os.getuid()}-{os.getpid()}")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, for as long as the application lives (see `release`)."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release() -> None:
+    """Deletes what the operators have written for themselves so far. Results not yet read are lost with it."""
+    jvm, session = SparkContext._jvm, SparkSession.getActiveSession()
+    if jvm is None:
+        return
+    conf = session.sparkContext._jsc.hadoopConfiguration() if session else jvm.org.apache.hadoop.conf.Configuration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _release_at_end() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        release()
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there and survives lost executors."""
+    """df written to the shared folder and read back: its lineage ends there and survives lost executors.
+
+    Columns are written by position, so names may clash in any way.
+    """
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    flat.write.parquet(path)
+    return df.sparkSession.read.schema(flat.schema).parquet(path).toDF(*df.columns)
+
+
+#: Logical operators under which a second reading gives the same rows in the same tasks.
+STEADY = {"LogicalRelation", "LocalRelation", "LogicalRDD", "Project", "Filter", "Union", "SubqueryAlias", "LocalLimit"}
+
+
+def steady(df: DataFrame) -> bool:
+    """Whether a second reading numbers the same rows alike: stored tables and what is taken from them row by row."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in STEADY or not node.deterministic():
+            return False
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return True
+
+
+def settled(df: DataFrame, what: str = "rows") -> DataFrame:
+    """df itself where it can be read twice alike, else df written out: operators match rows by their numbers."""
+    return df if steady(df) else cut(df, what)
+
+
+def match_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs (settled) joined by how (left_semi or left_anti) to rows (column row), with the columns of docs, whatever their names."""
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("own_row", F.monotonically_increasing_id())
+    kept = flat.join(rows.select("row"), F.col("own_row") == F.col("row"), how).drop("own_row")
+    return kept.toDF(*names)
 
 
 def binaries(column: pa.Array) -> list[bytes]:

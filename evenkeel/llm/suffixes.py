@@ -5,20 +5,24 @@ bytes fit, the leftmost one whose first eight bytes have the least hash. Equal w
 anchors at equal offsets, so only suffixes at anchors (about one in 85) matter, and of those only
 the ones whose first LEAD bytes some other anchor has too; they keep the bytes of their windows.
 
-Those suffixes are range-partitioned by their leading bytes with sampled splitters; a number of
+Anchors are found once and written as (hash of the lead, row, place, reach of their windows). Those
+whose hash recurs are gathered by row; from there on, suffixes are only sliced out of the texts.
+They are range-partitioned by their leading bytes with sampled splitters; a number of
 the row comes second in the key, so that a lead that very many suffixes share spans partitions. Each
-bucket sorts its suffixes, and the reversed texts before them, by multikey quicksort (one 8-byte
-symbol at a time; only ties go on). With the common lengths of neighbours, windows at one offset
+bucket sorts its suffixes, and the reversed texts before them, by three-way multikey quicksort over
+8-byte symbols. With the common lengths of neighbours, windows at one offset
 are equal exactly if the sorted neighbours between them agree far enough on both sides. A bucket's
 first and last lead may go on in its neighbours: the distinct windows of those leads are compared
-across buckets by 128-bit digests, one row a bucket for each.
+across buckets by their SHA-256, one row a bucket for each.
 
 Documents without any such suffix are finished when that is known; only the texts of the others
 are carried on. Spans are joined back by row and merged per document.
 
 Defined cases: null and empty texts, and texts below 200 bytes, lose nothing; repeated rows are
 different documents, so that they lose all that is long enough; strings overlap freely, also with
-themselves; matches are of bytes and may start or end within a character; null ids are kept.
+themselves; matches are of bytes and may start or end within a character; null ids are kept; very
+long texts are searched in overlapping pieces of PIECE bytes; an empty table gives an empty result;
+other columns are ignored, whatever their names; a table that cannot be read twice alike is written first.
 """
 
 from __future__ import annotations
@@ -27,15 +31,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binaries, cut, merge_runs, pick
+from .common import binaries, cut, merge_runs, pick, settled
 
 LENGTH, LEAD = 200, 32
 PLACES = LENGTH - LEAD + 1
-#: Bytes that are searched for anchors at a time; longer texts are taken in overlapping pieces.
-PIECE = 4 << 20
+#: Bytes that are searched for anchors at a time (some 90 bytes of memory each); longer texts are taken in overlapping pieces.
+PIECE = 1 << 19
 #: Bytes of suffixes in a bucket, about.
 BUCKET = 16 << 20
 _POS = 24
@@ -101,22 +104,32 @@ def anchors(texts: list[bytes]):
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of rows of big-endian 8-byte symbols: all rows are split by their first symbol, ties by the next, and so on."""
+    """Order of rows of big-endian 8-byte symbols by three-way multikey quicksort.
+
+    A segment of rows that agree up to its depth is split by the median of three of its next symbols:
+    smaller and larger ones stay at that depth, equal ones go on to the next symbol. All segments
+    take a step at a time together; those of one row, or equal to the end, are done.
+    """
     n, width = words.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    tied = np.arange(n)
-    for d in range(width):
-        if not len(tied):
-            break
-        rows = order[tied]
-        symbol = words[rows, d]
-        by = np.lexsort((symbol, group[tied]))
-        order[tied], symbol = rows[by], symbol[by]
-        g = group[tied]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (symbol[1:] != symbol[:-1])])
-        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        alone = new & np.append(new[1:], True)
-        tied = tied[~alone]
+    order, place = np.arange(n), np.arange(n)  # place: positions of open segments, in order
+    start, depth = np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)  # where in place each segment begins
+    while len(place):
+        size = np.diff(np.append(start, len(place)))
+        segment = np.repeat(np.arange(len(start)), size)
+        rows = order[place]
+        symbol = words[rows, depth[segment]]
+        low, middle, high = symbol[start], symbol[start + size // 2], symbol[start + size - 1]
+        pivot = np.maximum(np.minimum(low, middle), np.minimum(np.maximum(low, middle), high))[segment]
+        group = segment * 3 + (symbol >= pivot) + (symbol > pivot)
+        by = np.argsort(group, kind="stable")
+        order[place], group = rows[by], group[by]
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size, group = np.diff(np.append(begin, len(place))), group[begin]
+        deeper = depth[group // 3] + (group % 3 == 1)
+        going = (size > 1) & (deeper < width)
+        place = place[np.repeat(going, size)]
+        size, depth = size[going], deeper[going]
+        start = np.cumsum(size) - size
     return order
 
 
@@ -164,12 +177,12 @@ def compare_bucket(suffix: list[bytes], before: list[bytes], row: np.ndarray, fi
         twice = ~(new & np.append(new[1:], True))
         hit = own[by[twice]]
         spans.append((row[hit], anchor[hit] - o))
-        for j, many in zip(by[new].tolist(), twice[new].tolist(), strict=True):
-            i = own[j]
-            if opened[i]:
-                digests.append(xxhash.xxh3_128_digest((before[i][len(before[i]) - o :] if o else b"") + suffix[i][: LENGTH - o]))
-                rows.append(-1 if many else int(row[i]))
-                starts.append(int(anchor[i] - o))
+        first_of, many = own[by[new]], twice[new]
+        wanted = opened[first_of]
+        for i, m in zip(first_of[wanted].tolist(), many[wanted].tolist(), strict=True):
+            digests.append(hashlib.sha256((before[i][len(before[i]) - o :] if o else b"") + suffix[i][: LENGTH - o]).digest())
+            rows.append(-1 if m else int(row[i]))
+            starts.append(int(anchor[i] - o))
     if not spans:
         return (np.zeros(0, np.int64),) * 3, ([], [], [])
     rows_, at = (np.concatenate(x) for x in zip(*spans, strict=True))
@@ -189,19 +202,20 @@ def _kept(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_bytes, spans (array of start, end in bytes, merged), text (null where there are no spans), sha256 of the kept bytes."""
     spark = docs.sparkSession
-    frame = pick(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+    frame = settled(pick(docs, id=id_col, text=text_col)).withColumn("row", F.monotonically_increasing_id())
     id_kind = frame.schema["id"].dataType.simpleString()
 
     def find(batches):
         for batch in batches:
             rows = batch.column(1).to_numpy()
-            for doc, at, _, _, h in anchors(binaries(batch.column(0))):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rows[doc]), pa.array(at)], ["h", "row", "at"])
+            for doc, at, first, last, h in anchors(binaries(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rows[doc]), pa.array(at.astype(np.int32)), pa.array((at - first).astype(np.int16)), pa.array((at - last).astype(np.int16))], ["h", "row", "at", "most", "least"])
 
-    places = frame.select("text", "row").mapInArrow(find, "h long, row long, at long")
+    places = cut(frame.select("text", "row").mapInArrow(find, "h long, row long, at int, most short, least short"), "places")
     # Written out, so that the join below has an exchange on both sides and a hot lead's places can be split.
     shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "leads")
-    flagged = places.join(shared, "h", "left_semi").groupBy("row").agg(F.collect_set("at").alias("ats")).withColumnRenamed("row", "row_")
+    flagged = places.join(shared, "h", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "most", "least")).alias("ats")).withColumnRenamed("row", "row_")
+    ats_kind = "array<struct<at:int,most:smallint,least:smallint>>"
 
     def finish(batches):
         for batch in batches:
@@ -213,25 +227,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     known = frame.join(flagged, F.col("row") == F.col("row_"), "left").select("id", "text", "row", "ats")
-    state = cut(known.mapInArrow(finish, f"id {id_kind}, row long, n_bytes long, sha256 string, text binary, ats array<long>"), "texts")
+    state = cut(known.mapInArrow(finish, f"id {id_kind}, row long, n_bytes long, sha256 string, text binary, ats {ats_kind}"), "texts")
     open_ = state.where("ats is not null")
     total = open_.agg(F.sum(F.size("ats")).alias("n")).first()["n"] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 300 / BUCKET) + 1)
 
     def suffixes(batches):
         for batch in batches:
-            texts, ats, rows = binaries(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            wanted = [set(x) for x in ats]
-            for doc, at, first, last, _ in anchors(texts):
-                keep = np.array([a in wanted[d] for d, a in zip(doc.tolist(), at.tolist(), strict=True)], bool)
-                doc, at, first, last = doc[keep], at[keep], first[keep], last[keep]
-                places = list(zip(doc.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True))
-                for a in range(0, len(places), 5000):
-                    some = places[a : a + 5000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([texts[d][s : s + LEAD] for d, s, _, _ in some], pa.binary()), pa.array([texts[d][s + LEAD : e + LENGTH] for d, s, _, e in some], pa.binary()), pa.array([texts[d][f:s] for d, s, f, _ in some], pa.binary()), pa.array(rows[doc[a : a + 5000]]), pa.array(first[a : a + 5000]), pa.array((at - last)[a : a + 5000])],
-                        ["lead", "more", "before", "row", "first", "low"],
-                    )
+            texts, ats = binaries(batch.column(0)), batch.column(1)
+            doc = np.repeat(np.arange(len(texts)), np.diff(ats.offsets.to_numpy()))
+            at, most, least = (ats.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+            rows = batch.column(2).to_numpy()[doc]
+            places = list(zip(doc.tolist(), at.tolist(), (at - most).tolist(), (at - least).tolist(), strict=True))
+            for a in range(0, len(places), 5000):
+                some, own = places[a : a + 5000], slice(a, a + 5000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([texts[d][s : s + LEAD] for d, s, _, _ in some], pa.binary()), pa.array([texts[d][s + LEAD : e + LENGTH] for d, s, _, e in some], pa.binary()), pa.array([texts[d][f:s] for d, s, f, _ in some], pa.binary()), pa.array(rows[own]), pa.array((at - most)[own]), pa.array(least[own])],
+                    ["lead", "more", "before", "row", "first", "low"],
+                )
 
     listed = open_.select("text", "ats", "row").mapInArrow(suffixes, "lead binary, more binary, before binary, row long, first long, low long")
     ranged = listed.repartitionByRange(parts, "lead", F.xxhash64("row", "first"))
