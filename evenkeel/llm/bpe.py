@@ -6,8 +6,6 @@ import base64
 import functools
 import json
 
-import numpy as np
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank a line."""
@@ -142,53 +140,3 @@ class CountTransducer:
             state, emitted = move
             total += emitted
         return total
-
-
-class PairMerger:
-    """Merges of many pre-tokens at once, by ranks of pairs of symbol numbers (below 2**16).
-
-    Each round joins in every row the leftmost pair of least rank, as merging one by one does; rows
-    without a pair are done. pairs: (a, b) by rank; joined: the symbol that each makes.
-    """
-
-    NONE = np.int32(2**31 - 1)
-
-    def __init__(self, pairs: np.ndarray, joined: np.ndarray):
-        keys = pairs[:, 0].astype(np.uint32) << np.uint32(16) | pairs[:, 1].astype(np.uint32)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.joined = keys[order], order.astype(np.int32), joined.astype(np.int32)
-
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.uint32) << np.uint32(16) | (b.astype(np.uint32) & np.uint32(0xFFFF))
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank[at], self.NONE)
-
-    def merge(self, rows: np.ndarray) -> np.ndarray:
-        """rows of symbols, -1 after each row's end; the same after all merges."""
-        out = rows.astype(np.int32).copy()
-        n, width = out.shape
-        if width < 2:
-            return out
-        end = np.full((n, 1), -1, np.int32)
-        now = np.concatenate([out, end], axis=1)
-        cost = np.concatenate([self.ranks(now[:, :-1].reshape(-1), now[:, 1:].reshape(-1)).reshape(n, width), np.full((n, 1), self.NONE)], axis=1)
-        which, places = np.arange(n), np.arange(width + 1)
-        while len(which):
-            at = cost.argmin(axis=1)
-            least = cost[np.arange(len(at)), at]
-            done = least == self.NONE
-            if done.any():
-                out[which[done]] = now[done, :width]
-                go = ~done
-                which, now, cost, at, least = which[go], now[go], cost[go], at[go], least[go]
-                if not len(which):
-                    break
-            row = np.arange(len(at))
-            take = np.minimum(places + (places > at[:, None]), width)
-            now, cost = np.take_along_axis(now, take, 1), np.take_along_axis(cost, take, 1)
-            now[row, at] = self.joined[least]
-            cost[row, at] = self.ranks(now[row, at], now[row, np.minimum(at + 1, width)])
-            left = np.flatnonzero(at > 0)
-            cost[left, at[left] - 1] = self.ranks(now[left, at[left] - 1], now[left, at[left]])
-        return out

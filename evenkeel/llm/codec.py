@@ -2,19 +2,24 @@
 
 A part is up to PART_CHARS of a scan task's documents. Its pre-tokens are replaced by numbers into
 its own list of distinct words (the positions: a document is the ordered list of its numbers). The
-distinct words of all parts are shuffled by their hash, each distinct word of a hash bucket is
+distinct words of all parts are shuffled by their hash into buckets; each distinct word of a bucket is
 encoded once, and the ids go back to the parts that asked; there documents are reassembled by
 position. What is shuffled is distinct words, their ids and numbered positions, all as compressed
-columns, and no word or part is repeated more often than there are parts, so that no word is hot.
+columns (a row a word and position would be some five times the text), and no word or part is
+repeated more often than there are parts, so that no word is hot. Partitions grow in number with
+the text, so that their size stays the same.
 
-Decoding looks each id up in the token-byte table and joins the bytes.
+Decoding joins ids with the token-byte table by their number, a batch at a time: all bytes are
+taken at once, and a document's are one slice of them.
 
-The scan is read twice (words, then positions). Both readings must see the same rows in a task, as
-they do for stored tables; a checksum of the word list travels with both, and a mismatch is an
+The scan is read twice (words, then positions). A table that may not give the same rows twice is
+written first; a checksum of the word list travels with both readings, and a mismatch is an
 error rather than a wrong result.
 
-Defined cases: null and empty texts give no ids; repeated rows are encoded each for itself; lone
-positions in very long texts are split over rows and rejoined; an empty table gives an empty result.
+Defined cases: null and empty texts give no ids; repeated rows are encoded each for itself; null
+ids are kept; very long texts are taken in slices of SWEEP characters, cut where a pre-token starts
+whatever came before (one unbroken pre-token is held whole); an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,47 +30,42 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import read_ranks
-from .common import by_size, pick, strings
-from .pretoken import pretokens
+from .common import by_size, pick, settled, strings
+from .pretoken import pretokens, slices
 
 PART_CHARS = 16 << 20
 SWEEP = 1 << 18
 #: Characters of documents whose positions travel in one row.
 ROW_CHARS = 1 << 20
-BUCKETS = 1 << 10
+#: Characters of documents whose words and positions meet in one partition.
+PARTITION_CHARS = 4 * PART_CHARS
+#: Buckets of words at most: each part sends a row to each bucket that it has words of. A bucket's distinct words are held together.
+BUCKETS = 1 << 12
 #: Ids that are decoded at a time.
-DECODE = 300_000
+DECODE = 1 << 20
 
 
 @functools.lru_cache(2)
-def ranks_of(path: str) -> dict[bytes, int]:
-    return read_ranks(path)
-
-
-def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the neighbours whose join has the least rank are joined, leftmost first."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    none = len(ranks) + 1
-    costs = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
-    while costs:
-        best = min(costs)
-        if best == none:
-            break
-        i = costs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del costs[i]
-        if i:
-            costs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        if i < len(costs):
-            costs[i] = ranks.get(parts[i] + parts[i + 1], none)
-    return [ranks[p] for p in parts]
+def word_encoder(path: str):
+    """A function from one pre-token to its ids."""
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
+
+
+@functools.lru_cache(2)
+def token_bytes(path: str) -> pa.Array:
+    """The token-byte table: the bytes of each id, by id."""
+    ranks = read_ranks(path)
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for b, i in ranks.items():
+        out[i] = b
+    return pa.array(out, pa.large_binary())
 
 
 def _pack(data: bytes) -> bytes:
@@ -98,18 +98,23 @@ class _Part:
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the texts' pre-tokens in order, and how many each text has."""
-        found, lengths = [], []
-        for a, b in by_size(texts, SWEEP):
-            pieces, upto = pretokens(texts[a:b])
+        found, lengths, cut, owner = [], np.zeros(len(texts), np.int64), [], []
+        for i, t in enumerate(texts):
+            own = list(slices(t, SWEEP))
+            cut += own
+            owner += [i] * len(own)
+        for a, b in by_size(cut, SWEEP):
+            pieces, upto = pretokens(cut[a:b])
             found.append(np.fromiter(map(self.words.__getitem__, pieces), np.uint32, len(pieces)))
-            lengths.append(np.diff(upto))
+            np.add.at(lengths, owner[a:b], np.diff(upto))
         self.chars += sum(map(len, texts))
         self.docs += len(texts)
-        return np.concatenate(found), np.concatenate(lengths)
+        return np.concatenate(found), lengths
 
-    def in_buckets(self) -> tuple[np.ndarray, list[bytes]]:
-        words = [w.encode("utf-8", "surrogatepass") for w in self.words]
-        return np.array([zlib.crc32(w) % BUCKETS for w in words], np.uint32), words
+    def in_buckets(self, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+        """Bucket of each word, and the words."""
+        words = [w.encode() for w in self.words]
+        return np.array([zlib.crc32(w) % buckets for w in words], np.uint32), words
 
 
 def _parts(batches):
@@ -146,17 +151,19 @@ _ROWS = "part string, kind int, at long, n long, data binary"
 def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row a document: id, ids (array of token ids). rank_file: a file that every executor has."""
     spark = docs.sparkSession
-    frame = pick(docs, id=id_col, text=text_col).withColumn("task", F.spark_partition_id())
+    frame = settled(pick(docs, id=id_col, text=text_col)).withColumn("task", F.spark_partition_id())
     id_field = frame.schema["id"].dataType
-    buckets = min(BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars = frame.agg(F.sum(F.length("text"))).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PARTITION_CHARS))
+    buckets = buckets or min(BUCKETS, width)
 
     def ask(batches):
         """Distinct words of each part, by bucket."""
         for name, part, ids, _, _ in _named(batches):
             if ids is None and part.words:
-                bucket, words = part.in_buckets()
-                order = np.argsort(bucket % buckets, kind="stable")
-                cuts = np.searchsorted((bucket % buckets)[order], np.arange(buckets + 1))
+                bucket, words = part.in_buckets(buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for k in range(buckets):
                     own = [words[i] for i in order[cuts[k] : cuts[k + 1]].tolist()]
                     if own:
@@ -164,10 +171,12 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
                         yield pa.RecordBatch.from_pydict({"part": [name], "kind": pa.array([k], pa.int32()), "at": [zlib.crc32(b"".join(words))], "n": [len(own)], "data": [_pack(body)]})
 
     def answer(batches):
-        """Ids of each asked word, in the order asked; each distinct word of the task is encoded once."""
-        ranks, known = ranks_of(rank_file), {}
+        """Ids of each asked word, in the order asked; each distinct word of a bucket is encoded once. Rows come by bucket."""
+        encode, known, bucket = word_encoder(rank_file), {}, None
         for batch in batches:
             for part, kind, at, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind != bucket:
+                    bucket, known = kind, {}
                 body = zstandard.decompress(data)
                 ends = np.cumsum(np.frombuffer(body, "<u4", n)).tolist()
                 base, start, out = 4 * n, 0, []
@@ -176,9 +185,7 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
                     start = e
                     ids = known.get(w)
                     if ids is None:
-                        if len(known) > 400_000:
-                            known.clear()
-                        ids = known[w] = array("I", encode_word(w, ranks)).tobytes()
+                        ids = known[w] = array("I", encode(w.decode())).tobytes()
                     out.append(ids)
                 lengths = np.fromiter(map(len, out), np.uint32, n) // np.uint32(4)
                 flat = np.frombuffer(b"".join(out), np.uint32)
@@ -189,8 +196,8 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
         count = 0
         for name, part, ids, positions, lengths in _named(batches):
             if ids is None:
-                bucket, words = part.in_buckets()
-                yield pa.RecordBatch.from_pydict({"part": [name], "kind": pa.array([-1], pa.int32()), "at": [zlib.crc32(b"".join(words))], "n": [len(words)], "data": [_planes(bucket % buckets)]})
+                bucket, words = part.in_buckets(buckets)
+                yield pa.RecordBatch.from_pydict({"part": [name], "kind": pa.array([-1], pa.int32()), "at": [zlib.crc32(b"".join(words))], "n": [len(words)], "data": [_planes(bucket)]})
                 continue
             count += 1
             sink = pa.BufferOutputStream()
@@ -241,8 +248,7 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
                     values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at_id].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, values], ["id", "ids"])
 
-    width = max(buckets, 1)
-    asked = frame.mapInArrow(ask, _ROWS).repartition(width, "kind")
+    asked = frame.mapInArrow(ask, _ROWS).repartition(width, "kind").sortWithinPartitions("kind")
     answers = asked.mapInArrow(answer, _ROWS)
     rows = answers.union(frame.mapInArrow(place, _ROWS))
     together = rows.repartition(width, "part").sortWithinPartitions("part", "kind", "at")
@@ -251,24 +257,25 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
 
 
 def decode_ids(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row a document: id, ids, bytes (joined from the token-byte table)."""
+    """One row a document: id, ids, bytes (joined from the token-byte table). Null ids decode like none; an id outside the table is an error."""
     frame = pick(encoded, id=id_col, ids=ids_col)
 
     def decode(batches):
-        table = {i: b for b, i in ranks_of(rank_file).items()}.__getitem__
+        table = token_bytes(rank_file)
         for batch in batches:
             n = batch.num_rows
-            offsets = batch.column(1).offsets.to_numpy() if n else np.zeros(1, np.int32)
+            offsets = batch.column(1).offsets.to_numpy().astype(np.int64) if n else np.zeros(1, np.int64)
             at = 0
-            while at < n:  # some hundred thousand ids at a time, one document at least
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE, "right")) - 1)
-                to = min(to, n)
+            while at < n:  # a million ids at a time, one document at least
+                to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE, "right")) - 1))
                 some = batch.slice(at, to - at)
-                values = some.column(1).flatten().to_pylist()
-                pieces = list(map(table, values))
-                cuts = (offsets[at : to + 1] - offsets[at]).tolist()
-                out = [b"".join(pieces[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.binary())], ["id", "ids", "bytes"])
+                pieces = table.take(some.column(1).flatten())
+                if pieces.null_count:
+                    raise ValueError("a token id is not in the token-byte table")
+                ends = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                starts = ends[offsets[at : to + 1] - offsets[at]]
+                joined = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(starts), pieces.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), joined.cast(pa.binary())], ["id", "ids", "bytes"])
                 at = to
 
     return frame.mapInArrow(decode, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)

@@ -12,7 +12,9 @@ from the now known entry states marks the starts. Any cut of a text gives the sa
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -152,6 +154,19 @@ def starts_of(kinds: np.ndarray, block: int = 512) -> np.ndarray:
     return out
 
 
+#: A space between two characters that are not white: a pre-token starts at it whatever came before.
+SEAM = re.compile(r"(?<=\S) (?=\S)")
+
+
+def slices(text: str, most: int) -> Iterator[str]:
+    """The text in slices of `most` characters or a little more, whose pre-tokens are those of the text; one pre-token is never cut."""
+    at = 0
+    while len(text) - at > most and (seam := SEAM.search(text, at + most)):
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
 def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """All pre-tokens in order, and how many of them come before each text and in all (len + 1)."""
     if not texts:

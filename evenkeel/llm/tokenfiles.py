@@ -2,20 +2,24 @@
 
 Each task takes a range of document ids in ascending order and writes one pair of files:
     part-NNNNN.bin   token ids, 16 or 32 bits as the vocabulary needs, little-endian
-    part-NNNNN.idx   int64: number of documents n, n document ids, n + 1 offsets into the .bin
+    part-NNNNN.idx   int64: number of documents n, how many of them (the first ones) have a null id,
+                     n document ids (0 for a null one), n + 1 offsets into the .bin
 A prefix sum over the parts' totals (one small row a part) gives each part's base, so a document
 starts at base + offset. Files are written under a temporary name and renamed, so that a task that
-runs again after a lost executor replaces its file whole.
+runs again after a lost executor replaces its file whole. Where the scan is not in the order of ids,
+the table is dealt into ranges of about PART_CHARS of text.
 
 The folder must be one that the driver and all executors reach as files (a shared mount), since
-the files are memory-mapped.
+the files are memory-mapped; the driver looks for every file before it reads any back.
 
 The tokenizers library is slow on long texts and the same words recur, so texts are cut at ASCII
-white space, which this vocabulary drops, and each distinct word is encoded once a task. Words of
-plain letters, digits and marks go through merges by rank, many words at once; all others through the library itself.
+white space, which this vocabulary drops, and each distinct word is encoded once a task: words of
+plain letters, digits and marks are lower-cased and split here, and the library's model merges each
+distinct pre-token; all others go through the whole library.
 
 Defined cases: null and empty texts hold the end id only; repeated rows each have their place (ties
-in scan order); null ids come first, stored as -1 with a mark; an empty table gives no files.
+in scan order); null ids come first and are null again when read; very long texts are split into words
+SWEEP bytes at a time; an empty table gives no files; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +29,19 @@ import json
 import os
 import re
 import zlib
+from array import array
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import PairMerger, byte_letters
-from .common import binaries, by_size, new_folder, pick
+from .bpe import byte_letters
+from .common import binaries, by_size, new_folder, pick, settled
 
 ROWS = 1000
+#: Characters of text in a part, where parts are dealt.
+PART_CHARS = 256 << 20
 #: Bytes of text whose new words are learned together.
 SWEEP = 2 << 20
 
@@ -55,65 +62,72 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.merger = PairMerger(np.array([(vocab[a], vocab[b]) for a, b in pairs]), np.array([vocab[a + b] for a, b in pairs]))
-        letter = {b: c for c, b in byte_letters().items()}
-        self.inner, self.last = (np.array([vocab[letter[b] + end] for b in range(256)], np.int32) for end in ("", "</w>"))
-        self.size = len(vocab) + len(spec["added_tokens"])
+        self.size = len(spec["model"]["vocab"]) + len(spec["added_tokens"])
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.remember = remember
 
-    def learn_pieces(self, pieces: list[str]) -> None:
-        """Ids of pre-tokens, many at a time, of like lengths together."""
-        pieces = sorted(pieces, key=len)
-        for a in range(0, len(pieces), 8192):
-            some = [p.encode() for p in pieces[a : a + 8192]]
-            size = np.fromiter(map(len, some), np.int64, len(some))
-            data = np.frombuffer(b"".join(some), np.uint8)
-            rows = np.full((len(some), int(size.max())), -1, np.int32)
-            inside = np.arange(rows.shape[1]) < size[:, None]
-            rows[inside] = self.inner[data]
-            ends = np.cumsum(size) - 1
-            rows[np.arange(len(some)), size - 1] = self.last[data[ends]]
-            done = self.merger.merge(rows)
-            count = (done >= 0).sum(axis=1)
-            flat, cuts = done[done >= 0].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(count * 4)]).tolist()
-            self.pieces.update(zip(pieces[a : a + 8192], (flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+    def piece(self, piece: str) -> bytes:
+        """Ids of a pre-token, merged by the library's model."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.library.model.tokenize(piece)]).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        hard, plain = [], []
-        for w in words:
-            text = w.decode()
-            (plain if self.PLAIN.fullmatch(text) and "<|" not in text else hard).append((w, text))
-        parts = [self.PIECES.findall(t.lower()) for _, t in plain]
         if len(self.pieces) > self.remember:
             self.pieces.clear()
-        self.learn_pieces(list({p for ps in parts for p in ps if p not in self.pieces}))
-        known = self.pieces
-        for (w, _), ps in zip(plain, parts, strict=True):
-            self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        hard, known = [], self.pieces
+        for w in words:
+            text = w.decode()
+            if not self.PLAIN.fullmatch(text) or self.special.search(text):
+                hard.append((w, text))
+                continue
+            parts = self.PIECES.findall(text.lower())
+            for p in parts:
+                if p not in known:
+                    known[p] = self.piece(p)
+            self.words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
         for (w, _), e in zip(hard, self.library.encode_batch([t for _, t in hard], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, np.uint32).tobytes()
+            self.words[w] = array("I", e.ids).tobytes()
 
     def many(self, texts: list[bytes]):
         """Token ids of each text; new words of several texts are learned together."""
         for a, b in by_size(texts, SWEEP):
-            words = [t.split() for t in texts[a:b]]
-            if len(self.words) > self.remember:
-                self.words.clear()
-            new = set().union(*words).difference(self.words)
-            if new:
-                self.learn(list(new))
-            known = self.words.__getitem__
-            for w in words:
-                yield np.frombuffer(b"".join(map(known, w)), np.uint32)
+            cut = [list(split_at_space(t, SWEEP)) for t in texts[a:b]]
+            if max(map(len, cut), default=1) == 1:
+                yield from self.sweep([c[0] for c in cut])
+            else:  # one very long text
+                for c in cut:
+                    yield np.concatenate([x for piece in c for x in self.sweep([piece])])
+
+    def sweep(self, texts: list[bytes]) -> list[np.ndarray]:
+        words = [t.split() for t in texts]
+        if len(self.words) > self.remember:
+            self.words.clear()
+        new = set().union(*words).difference(self.words)
+        if new:
+            self.learn(list(new))
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, w)), np.uint32) for w in words]
 
     def __call__(self, text: bytes) -> np.ndarray:
         return next(self.many([text]))
 
 
+SPACE = re.compile(rb"[ \t-\r]")
+
+
+def split_at_space(text: bytes, most: int):
+    """The text in slices of `most` bytes or a little more, cut at ASCII white space; a word is never cut."""
+    at = 0
+    while len(text) - at > most and (space := SPACE.search(text, at + most)):
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
 @functools.lru_cache(1)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -158,17 +172,22 @@ def in_order(frame: DataFrame) -> bool:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
     """Writes the files in ascending id order; returns a row a part: part, n_docs, n_tokens, base (tokens of all parts before)."""
     spark = docs.sparkSession
-    frame = pick(docs, id=id_col, text=text_col)
+    frame = settled(pick(docs, id=id_col, text=text_col))
     if frame.schema["id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise ValueError("document ids must be integers")
     frame = frame.withColumn("id", F.col("id").cast("long"))
     path = local(folder)
     os.makedirs(path, exist_ok=True)
-    ordered = frame if in_order(frame) else frame.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id")
+    if in_order(frame):
+        ordered = frame
+    else:
+        chars = frame.agg(F.sum(F.length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+        ordered = frame.repartitionByRange(parts, "id").sortWithinPartitions("id")
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def write(batches):
-        out, sizes, ids, part, n = None, [0], [], None, 0
+        out, sizes, ids, part, n, nulls = None, [0], [], None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -179,7 +198,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
                 name = f"{path}/part-{part:05d}"
                 mark = f".{os.getpid()}.{os.urandom(4).hex()}"
                 out = open(f"{name}.bin{mark}", "wb")
-            ids.append(batch.column(0).fill_null(-1).to_numpy())
+            ids.append(batch.column(0).fill_null(0).to_numpy())
+            nulls += batch.column(0).null_count  # they sort first
             for found in encode.many(binaries(batch.column(1))):
                 found = np.append(found, np.uint32(end_id)).astype(kind)
                 out.write(found.tobytes())
@@ -187,7 +207,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
                 sizes.append(n)
         if out is not None:
             out.close()
-            head = np.concatenate([np.array([len(sizes) - 1]), *ids, np.array(sizes)]).astype("<i8")
+            head = np.concatenate([np.array([len(sizes) - 1, nulls]), *ids, np.array(sizes)]).astype("<i8")
             with open(f"{name}.idx{mark}", "wb") as f:
                 f.write(head.tobytes())
             os.replace(f"{name}.bin{mark}", f"{name}.bin")
@@ -199,6 +219,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
     for p in parts:
         table.append((p["part"], p["n_docs"], p["n_tokens"], p["bits"], base))
         base += p["n_tokens"]
+    missing = [p["part"] for p in parts if not os.path.exists(f"{path}/part-{p['part']:05d}.idx")]
+    if missing:
+        raise RuntimeError(f"the driver does not see the executors' files of parts {missing[:5]}: {path} must be a folder that all share")
     with open(f"{path}/parts.json", "w") as f:
         json.dump([dict(zip(("part", "n_docs", "n_tokens", "bits", "base"), t, strict=True)) for t in table], f)
     return spark.createDataFrame(table, "part int, n_docs long, n_tokens long, bits int, base long")
@@ -210,8 +233,8 @@ class TokenFile:
     def __init__(self, folder: str, part: int, bits: int):
         name = f"{local(folder)}/part-{part:05d}"
         head = np.memmap(f"{name}.idx", "<i8", "r")
-        n = int(head[0])
-        self.doc_ids, self.offsets = head[1 : n + 1], head[n + 1 :]
+        n, self.nulls = int(head[0]), int(head[1])
+        self.doc_ids, self.offsets = head[2 : n + 2], head[n + 2 :]
         self.tokens = np.memmap(f"{name}.bin", f"<u{bits // 8}", "r") if os.path.getsize(f"{name}.bin") else np.zeros(0, np.uint32)
 
     def __len__(self):
@@ -232,7 +255,7 @@ def read_token_files(parts: DataFrame, folder: str) -> DataFrame:
                     b = min(len(file), a + ROWS)
                     offsets = np.array(file.offsets[a : b + 1])
                     crc = [zlib.crc32(file[i].astype("<u4").tobytes()) for i in range(a, b)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(file.doc_ids[a:b])), pa.array(p["base"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(file.doc_ids[a:b]), mask=np.arange(a, b) < file.nulls), pa.array(p["base"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, parts.count())
     return parts.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -113,10 +113,34 @@ def test_codec_of_empty_texts_alone(spark, reference_encoding, monkeypatch):
     assert run(rows) == want(rows)
 
 
-def test_encode_word(reference_encoding):
-    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
-    for w in {w for t in random_texts(200, 200, "abcdefghij klmnopqrstuvwxyzé") for w in PATTERN.findall(t)}:
-        assert codec.encode_word(w.encode(), ranks) == reference_encoding.encode_ordinary(w)
+def test_slices_keep_pretokens():
+    for t in [*random_texts(300, 300), "it'r we'll  x y\n z 's " * 50, "ab" * 500]:
+        for most in (1, 7, 50):
+            cut = list(pretoken.slices(t, most))
+            assert "".join(cut) == t
+            assert [w for c in cut for w in PATTERN.findall(c)] == PATTERN.findall(t)
+
+
+def test_long_words_and_texts(spark, reference_encoding):
+    """One unbroken word of 300,000 letters, and a text of 3 million characters."""
+    rng = random.Random(7)
+    word = "".join(rng.choice("abcdefghij") for _ in range(300_000))
+    text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 9))) for _ in range(500_000))
+    docs = spark.createDataFrame([(1, word), (2, text), (3, "a")], "doc_id long, text string").coalesce(1)
+    path = P.path("byte_bpe_50k.tiktoken")
+    want = [(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in ((1, word), (2, text), (3, "a")) for ids in [reference_encoding.encode_ordinary(t)]]
+    assert by_id(codec.digests(codec.decode_ids(codec.encode_documents(docs, path), path)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    lib = library("byte_bpe_50k.json")
+    assert by_id(counts.count_tokens(docs, P.path("byte_bpe_50k.json")), "doc_id", "n_tokens") == [(i, len(lib.encode(t, add_special_tokens=False).ids)) for i, t in ((1, word), (2, text), (3, "a"))]
+    lib = library("word_bpe_49k.json")
+    encoded = tokenfiles.WordEncoder(P.path("word_bpe_49k.json")).many([word.encode(), text.encode()])
+    assert [x.tolist() for x in encoded] == [lib.encode(t, add_special_tokens=False).ids for t in (word, text)]
+
+
+def test_decoding_unknown_ids(spark):
+    frame = spark.createDataFrame([(1, [0, 60_000_000])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="out of bounds|not in the token-byte table"):
+        codec.decode_ids(frame, P.path("byte_bpe_50k.tiktoken")).collect()
 
 
 def test_word_encoder_is_the_library():
@@ -156,7 +180,7 @@ def test_token_files(spark, rows, docs, empty, tmp_path, ordered):
 def test_token_files_keep_null_ids(docs, rows, tmp_path):
     parts = tokenfiles.write_token_files(docs, P.path("word_bpe_49k.json"), f"file://{tmp_path}/c")
     got = tokenfiles.read_token_files(parts, f"file://{tmp_path}/c").collect()
-    assert len(got) == len(rows) and sum(r["doc_id"] == -1 for r in got) == 3
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 3 and [r["start"] for r in got if r["doc_id"] is None][0] == 0
     with pytest.raises(ValueError, match="shared mount"):
         tokenfiles.local("s3://bucket/x")
 
