@@ -19,6 +19,14 @@ from ..session import ship
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+def position(names: list[str], wanted: str) -> int:
+    """Which column is meant: one of that very name, else one that differs in case only."""
+    at = [i for i, n in enumerate(names) if n == wanted] or [i for i, n in enumerate(names) if n.lower() == wanted.lower()]
+    if not at:
+        raise ValueError(f"no column {wanted!r} among {names}")
+    return at[0]
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """The wanted columns under new names, found by exact name first, then ignoring case.
 
@@ -28,13 +36,7 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     ship(df.sparkSession)
     names = df.columns
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
-    out = []
-    for new, old in wanted.items():
-        at = [i for i, n in enumerate(names) if n == old] or [i for i, n in enumerate(names) if n.lower() == old.lower()]
-        if not at:
-            raise ValueError(f"no column {old!r} among {names}")
-        out.append(F.col(f"_{at[0]}").alias(new))
-    return flat.select(*out)
+    return flat.select(*[F.col(f"_{position(names, old)}").alias(new) for new, old in wanted.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

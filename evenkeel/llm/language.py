@@ -6,32 +6,45 @@ characters seen before a string, one discount, interpolated down to a uniform di
 languages share sorted arrays of string hashes, one array an order, with a row of log
 probabilities per string; strings that a language has not seen get their interpolated probability
 when the model is built, and strings that none has seen are scored by the context's back-off
-weights and the next lower order. The language of the lowest bits a character wins; a text is
-rejected where even those are above what is usual for the language, with room for short texts.
+weights and the next lower order. The language of the lowest bits a character wins.
 
-Training: of the labelled rows given, for each language the row of least hash in each of `rows`
-hash slots (whole texts): a documented bound on the sample of a classifier.
+Rejection is calibrated: one in FOLDS of the training rows is left out of the counts, and a text is
+rejected where its bits a character, less SHORT / sqrt(characters) for short texts, are more than
+`margin` above the most that such a row of the language takes.
 
-Defined cases: null texts and texts without a letter are `und`, score 0, rejected; ties go to the
-language that sorts first; without any training row all texts are `und`; repeated rows get the
-same answer each; null ids are not held out and not trained on.
+Training: of the labelled rows given, for each language the row of least hash in each of `rows`
+hash slots (whole texts): a documented bound on the sample of a classifier. The sample's texts stay
+on the executors; the driver sees counts of 4-character strings and one number a language.
+
+Defined cases: null texts and texts without a letter are `und`, score 0, rejected; very long texts are
+scored in slices that carry the characters before them; ties go to the language that sorts first;
+without any training row all texts are `und`; repeated rows get the same answer each; null ids are not
+held out and not trained on; an empty table gives an empty result; other columns are ignored,
+whatever their names, and `drop_rejected` keeps them all.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_size, fold, pick, strings
+from ..session import ship
+from .common import by_size, cut, fold, pick, position, settled, strings
 
 ORDER = 4
 UNDETERMINED = "und"
 #: Hash slots, and so training rows at most, of a language.
 ROWS = 800
+#: One in so many training rows calibrates the rejection.
+FOLDS = 5
+#: Bits a character that a text of one character may take beyond the usual; it falls with the square root of the length.
+SHORT = 6.0
+#: Characters that are scored at a time.
 SWEEP = 1 << 18
 
 
@@ -47,20 +60,47 @@ def folded() -> np.ndarray:
     return out
 
 
-def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded texts, each after ORDER - 1 spaces, and where each ends up: (codes, starts + end)."""
-    parts, cuts = [], [0]
-    table, pad = folded(), np.full(ORDER - 1, 32, np.uint32)
-    for t in texts:
-        codes = table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if len(codes):
-            blank = codes == 32
-            keep = ~blank
-            keep[1:] |= blank[1:] & ~blank[:-1]
-            codes = codes[keep]
-        parts += [pad, codes]
-        cuts.append(cuts[-1] + len(pad) + len(codes))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array(cuts)
+def fold_text(text: str, blank: bool = False) -> np.ndarray:
+    """Folded codes, runs of blanks as one; `blank`: the character before was one."""
+    codes = folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if len(codes):
+        blanks = codes == 32
+        keep = ~blanks
+        keep[1:] |= blanks[1:] & ~blanks[:-1]
+        keep[0] |= blanks[0] and not blank
+        codes = codes[keep]
+    return codes
+
+
+PAD = np.full(ORDER - 1, 32, np.uint32)
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, folded codes after the ORDER - 1 codes before them); the first ones come after blanks that are no character of the text.
+
+    Texts of more than SWEEP characters come in several pieces.
+    """
+    for i, t in enumerate(texts):
+        before, blank = PAD, False
+        for a in range(0, max(1, len(t)), SWEEP):
+            codes = np.concatenate([before, fold_text(t[a : a + SWEEP], blank)])
+            yield i, codes
+            before = codes[-(ORDER - 1) :]
+            blank = len(codes) > ORDER - 1 and codes[-1] == 32 or blank and len(codes) == ORDER - 1
+
+
+def stream(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of texts in sweeps of about SWEEP characters: (codes, where each piece ends after a 0, text of each piece)."""
+    parts, cuts, owner = [], [0], []
+    for i, codes in pieces(texts):
+        parts.append(codes)
+        cuts.append(cuts[-1] + len(codes))
+        owner.append(i)
+        if cuts[-1] >= SWEEP:
+            yield np.concatenate(parts), np.array(cuts), np.array(owner)
+            parts, cuts, owner = [], [0], []
+    if parts:
+        yield np.concatenate(parts), np.array(cuts), np.array(owner)
 
 
 def hashes(codes: np.ndarray) -> list[np.ndarray]:
@@ -94,9 +134,8 @@ class LanguageModel:
         at[at == len(keys)] = 0
         return at, keys[at] == h
 
-    def cost(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bits a character by language, characters, whether there is a letter) of each text."""
-        codes, cuts = stream(texts)
+    def bits_of(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of each code after those before it, by language; the first ORDER - 1 are of no use."""
         by_order = hashes(codes)
         at, found = self.find(self.keys[-1], by_order[-1])
         cost = self.bits[-1][at]
@@ -115,11 +154,20 @@ class LanguageModel:
                 cost[left[found]] += self.bits[order - 1][at[found]]
             left = left[~found]
         cost[left] += self.unseen
-        starts = cuts[:-1] + ORDER - 1
-        n = cuts[1:] - starts
-        total = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)])
-        letters = np.concatenate([[0], np.cumsum(codes != 32)])
-        return (total[cuts[1:]] - total[starts]) / np.maximum(n, 1)[:, None], n, letters[cuts[1:]] > letters[starts]
+        return cost
+
+    def cost(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits a character by language, characters, whether there is a letter) of each text."""
+        total = np.zeros((len(texts), len(self.languages)))
+        n, letters = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for codes, cuts, owner in stream(texts):
+            starts = cuts[:-1] + ORDER - 1
+            sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(self.bits_of(codes), axis=0, dtype=np.float64)])
+            seen = np.concatenate([[0], np.cumsum(codes != 32)])
+            np.add.at(total, owner, sums[cuts[1:]] - sums[starts])
+            np.add.at(n, owner, cuts[1:] - starts)
+            np.add.at(letters, owner, seen[cuts[1:]] - seen[starts])
+        return total / np.maximum(n, 1)[:, None], n, letters > 0
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
@@ -132,7 +180,7 @@ class LanguageModel:
             least = cost[np.arange(len(best)), best]
             odds = np.exp2(-(cost - least[:, None]) * np.minimum(n, 100)[:, None])
             score = 1 / odds.sum(axis=1)
-            out_of = least > self.limit[best] + 6 / np.sqrt(np.maximum(n, 1))
+            out_of = least - SHORT / np.sqrt(np.maximum(n, 1)) > self.limit[best]
             out += [(self.languages[k], float(s), bool(r)) if has else (UNDETERMINED, 0.0, True) for k, s, r, has in zip(best.tolist(), score, out_of, letter.tolist(), strict=True)]
         return out
 
@@ -147,10 +195,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                for a, b in by_size(texts, SWEEP):
-                    codes, cuts = stream(texts[a:b])
-                    if not len(codes):
-                        continue
+                for codes, cuts, _ in stream(texts):
                     alphabet, symbol = np.unique(codes, return_inverse=True)
                     symbol = symbol.astype(np.uint64)  # less than 2**16 letters a sweep of text, as far as Unicode's scripts go
                     key = symbol[ORDER - 1 :].copy()
@@ -166,7 +211,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in total], "gram": [k[1] for k in total], "n": list(total.values())})
 
-    return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: dict[str, dict[str, int]], discount: float = 0.75) -> LanguageModel:
@@ -228,37 +273,41 @@ def kneser_ney(counts: dict[str, dict[str, int]], discount: float = 0.75) -> Lan
 
 
 def training_rows(labelled: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(lang, text) of at most `rows` rows a language, chosen by a hash of the id over all of labelled (id, lang, text)."""
+    """(id, lang, text) of at most `rows` rows a language, chosen by a hash of the id over all of labelled (id, lang, text)."""
     h = F.xxhash64("id")
     chosen = labelled.select("id", "lang").groupBy("lang", F.pmod(h, F.lit(rows)).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("id"))).alias("m"))
     chosen = chosen.select(F.col("lang").alias("lang_"), F.col("m.id").alias("id_"))
     if chosen.count() <= 100_000:  # rows * languages at most; else an ordinary join
         chosen = F.broadcast(chosen)
-    return labelled.join(chosen, (F.col("id") == F.col("id_")) & (F.col("lang") == F.col("lang_"))).select("lang", "text")
+    return labelled.join(chosen, (F.col("id") == F.col("id_")) & (F.col("lang") == F.col("lang_"))).select("id", "lang", "text")
 
 
 def fit_language_model(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, margin: float = 2.0) -> LanguageModel:
     """Model of the labelled rows of docs; `where`, over columns id, lang and text, says which may be learned from."""
-    labelled = pick(docs, id=id_col, lang=lang_col, text=text_col).where("lang is not null and text is not null and id is not null")
+    labelled = settled(pick(docs, id=id_col, lang=lang_col, text=text_col)).where("lang is not null and text is not null and id is not null")
     if where is not None:
         labelled = labelled.where(where)
-    sample = training_rows(labelled, rows).toArrow()  # bounded by rows * languages
-    spark = docs.sparkSession
-    if not sample.num_rows:
-        return kneser_ney({})
+    sample = cut(training_rows(labelled, rows), "sample")
+    apart = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(FOLDS)) == 0
     counts: dict[str, dict[str, int]] = {}
-    for r in gram_counts(spark.createDataFrame(sample)).collect():
+    for r in gram_counts(sample.where(~apart)).collect():  # distinct strings of a bounded sample
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     model = kneser_ney(counts)
+    if not model.languages:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     own = {x: i for i, x in enumerate(model.languages)}
-    langs, texts = sample["lang"].to_pylist(), sample["text"].to_pylist()
-    usual: dict[int, list[float]] = {}
-    for a, b in by_size(texts, SWEEP):
-        cost, _, letter = model.cost(texts[a:b])
-        for k, c, has in zip(langs[a:b], cost, letter, strict=True):
-            if has and k in own:
-                usual.setdefault(own[k], []).append(float(c[own[k]]))
-    model.limit = np.array([np.quantile(usual[i], 0.99) + margin if i in usual else np.inf for i in range(len(model.languages))])
+
+    def excess(batches):
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), strings(batch.column(1))
+            cost, n, letter = shared.value.cost(texts)
+            usual = [float(c[own[k]] - SHORT / np.sqrt(m)) if has and k in own else None for k, c, m, has in zip(langs, cost, n, letter, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(usual, pa.float64())], ["lang", "bits"])
+
+    most = sample.where(apart).select("lang", "text").mapInArrow(excess, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits"))
+    usual = {r["lang"]: r["bits"] for r in most.collect() if r["bits"] is not None}  # a row a language
+    model.limit = np.array([usual.get(x, np.inf) + margin for x in model.languages])
     return model
 
 
@@ -278,16 +327,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def drop_rejected(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that no language explains; all columns stay."""
-    pick(docs, text=text_col)  # says so if there is no such column
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at = names.index(text_col)
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = position(names, text_col)
 
     def run(batches):
         for batch in batches:
             keep = [not r for _, _, r in shared.value.predict(strings(batch.column(at)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    ship(docs.sparkSession)
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,20 @@
 
 The values the base patterns find are the labelled credentials. A prefix tree of each label's
 strings is folded into a probabilistic automaton by merging states whose end and transition
-frequencies are statistically compatible (Hoeffding bound); the same is done for ordinary
-tokens. Every other token of SHORTEST characters (the shortest credential) or more is then scored by
-bits a character under each format's automaton against the ordinary one, and reported where a
-format explains it clearly better.
-
-Defined cases: null and empty texts have no spans; repeated rows are scanned each for itself;
-an empty table gives an empty result (and an empty model); positions are code points.
+frequencies, and those of all states after them, are statistically compatible (Hoeffding bound).
+States of one depth are merged first, most compatible ones together, so that counts are pooled by
+position before states of different depths are compared: lengths, prefixes and the place of a
+separator survive, and what has no fixed length folds into loops. The same is done for ordinary
+tokens. Every candidate - the value of each base span, and every other token of SHORTEST characters (the
+shortest credential) or more - is then scored: bits a character that the ordinary automaton takes more than
+the format's. Base spans stay whatever their score; other tokens are reported where a format explains
+them at least `margin` bits a character better, and no worse than it explains labelled credentials
+that were left out when it was inferred.
+
+Defined cases: null and empty texts have no spans; very long texts are searched whole, their spans are
+what is held; repeated rows are scanned each for itself; null ids are kept; patterns of different kinds
+may overlap, and ties of start are ordered by kind; an empty table gives an empty result (and an empty
+model); positions are code points; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +24,6 @@ import hashlib
 import math
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,6 +45,8 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 
 #: Distinct strings a label may give to its automaton; a documented bound on the training sample.
 SAMPLE = 2000
+#: One in so many labelled credentials is left out of its automaton and says how well others of its format fit.
+FOLDS = 5
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
@@ -71,116 +79,169 @@ def other_candidates(text: str, base: list) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Automaton:
-    """moves[state][symbol] = (next state, bits); ends[state] = bits of stopping there."""
+    """moves[state][symbol] = (next state, bits); others[state] = (next state, bits before the symbol's own) for symbols it has not seen."""
 
-    moves: list[dict[str, tuple[int, float]]] = field(default_factory=lambda: [{}])
-    ends: list[float] = field(default_factory=lambda: [0.0])
-    floor: float = 14.0
+    moves: list[dict[str, tuple[int, float]]]
+    others: list[tuple[int, float]]
+    ends: list[float]
+    symbols: dict[str, float]  # bits of a symbol anywhere
+    unknown: float
 
     def bits(self, s: str) -> float:
-        """Bits a character; an unknown symbol costs `floor` and starts over."""
-        state, total, moves, lost = 0, 0.0, self.moves, (0, self.floor)
+        """Bits a character, the end counted as one."""
+        state, total = 0, 0.0
         for c in s:
-            state, b = moves[state].get(c, lost)
-            total += b
+            move = self.moves[state].get(c)
+            if move is None:
+                state, b = self.others[state]
+                total += min(self.unknown, b + self.symbols.get(c, self.unknown))
+            else:
+                state, b = move
+                total += b
         return (total + self.ends[state]) / (len(s) + 1)
 
 
-def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
-    """State merging over the prefix tree, nearest states to the root first."""
-    seen, ends, kids = [0], [0], [{}]
-    for s in sorted(samples):
-        at = 0
-        seen[0] += 1
-        for c in s:
-            nxt = kids[at].get(c)
-            if nxt is None:
-                nxt = kids[at][c] = len(seen)
-                seen.append(0)
-                ends.append(0)
-                kids.append({})
-            at = nxt
-            seen[at] += 1
-        ends[at] += 1
-    spread = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def differ(a: int, b: int) -> bool:
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            na, nb = seen[a], seen[b]
-            if not na or not nb:
+class _Merging:
+    """Counts of a prefix tree whose states are merged step by step (union-find, kept deterministic)."""
+
+    def __init__(self, samples: list[str], alpha: float):
+        self.into, self.seen, self.ends, self.kids, self.moved = [0], [0], [0], [{}], [{}]
+        for s in sorted(samples):
+            at = 0
+            for c in s:
+                self.seen[at] += 1
+                nxt = self.kids[at].get(c)
+                if nxt is None:
+                    nxt = self.kids[at][c] = len(self.seen)
+                    self.into.append(nxt)
+                    self.seen.append(0)
+                    self.ends.append(0)
+                    self.kids.append({})
+                    self.moved.append({})
+                self.moved[at][c] = self.moved[at].get(c, 0) + 1
+                at = nxt
+            self.seen[at] += 1
+            self.ends[at] += 1
+        self.spread = math.sqrt(0.5 * math.log(2 / alpha))
+
+    def find(self, a: int) -> int:
+        while self.into[a] != a:
+            self.into[a] = self.into[self.into[a]]
+            a = self.into[a]
+        return a
+
+    def successors(self, a: int) -> list[int]:
+        return list(dict.fromkeys(self.find(self.kids[a][c]) for c in sorted(self.kids[a])))
+
+    def distance(self, a: int, b: int) -> float | None:
+        """Largest difference of frequencies over what the bound allows, over all pairs of states that follow; None if it is over 1."""
+        worst, todo, done = 0.0, [(a, b)], set()
+        while todo:
+            a, b = sorted(map(self.find, todo.pop()))
+            if a == b or (a, b) in done:
                 continue
-            bound = spread * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
+            done.add((a, b))
+            na, nb = self.seen[a], self.seen[b]
+            bound = self.spread * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
             if bound >= 1:
-                continue  # no frequencies could differ by more, nor below here, where counts are smaller
-            if abs(ends[a] / na - ends[b] / nb) > bound:
-                return True
-            ka, kb = kids[a], kids[b]
-            for c in ka.keys() | kb.keys():
-                x, y = ka.get(c), kb.get(c)
-                if abs((moved[a].get(c, 0) if x is not None else 0) / na - (moved[b].get(c, 0) if y is not None else 0) / nb) > bound:
-                    return True
-                if x is not None and y is not None and x != y:
-                    stack.append((x, y))
-        return False
-
-    moved = [{c: seen[k] for c, k in kid.items()} for kid in kids]  # strings that took each transition
-
-    def absorb(a: int, b: int) -> None:
-        """Fold the tree below b into a."""
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            seen[a] += seen[b]
-            ends[a] += ends[b]
-            for c, y in kids[b].items():
-                x = kids[a].get(c)
-                moved[a][c] = moved[a].get(c, 0) + moved[b][c]
-                if x is None:
-                    kids[a][c] = y
-                    if a in kept:
-                        front.append((a, c))
-                else:
-                    stack.append((x, y))
-
-    kept, order, front = {0}, [0], deque()
-    front.extend((0, c) for c in sorted(kids[0]))
-    while front:
-        parent, c = front.popleft()
-        b = kids[parent][c]
-        if b in kept:
+                continue  # no frequencies could differ by more
+            far = abs(self.ends[a] / na - self.ends[b] / nb)
+            ma, mb = self.moved[a], self.moved[b]
+            for c in ma.keys() | mb.keys():
+                far = max(far, abs(ma.get(c, 0) / na - mb.get(c, 0) / nb))
+            if far > bound:
+                return None
+            worst = max(worst, far / bound)
+            todo += [(self.kids[a][c], self.kids[b][c]) for c in ma.keys() & mb.keys()]
+        return worst
+
+    def merge(self, a: int, b: int) -> None:
+        todo = [(a, b)]
+        while todo:
+            a, b = map(self.find, todo.pop())
+            if a == b:
+                continue
+            self.into[b] = a
+            self.seen[a] += self.seen[b]
+            self.ends[a] += self.ends[b]
+            for c, y in self.kids[b].items():
+                self.moved[a][c] = self.moved[a].get(c, 0) + self.moved[b][c]
+                x = self.kids[a].setdefault(c, y)
+                if x != y:
+                    todo.append((x, y))
+
+    def join_nearest(self, state: int, kept: list[int]) -> bool:
+        near = [(d, k) for k in kept if (d := self.distance(k, state)) is not None]
+        if near:
+            self.merge(min(near)[1], state)
+        return bool(near)
+
+
+def infer(samples: list[str], alpha: float = 0.05, weight: float = 2.0) -> Automaton:
+    """The automaton of samples; `weight`: how many strings a state's unseen symbols and ends count for."""
+    m = _Merging(samples, alpha)
+    level = [0]
+    while level:  # states of one depth
+        following = dict.fromkeys(m.find(k) for s in level for k in m.successors(m.find(s)))
+        kept: list[int] = []
+        for state in sorted(following, key=lambda x: (-m.seen[x], x)):
+            state = m.find(state)
+            if state not in kept and not m.join_nearest(state, kept):
+                kept.append(state)
+        level = list(dict.fromkeys(map(m.find, kept)))
+    kept, todo = [0], m.successors(0)
+    while todo:  # states of different depths, from the root on
+        state = m.find(todo.pop(0))
+        kept = list(dict.fromkeys(map(m.find, kept)))
+        if state in kept:
             continue
-        for r in order:
-            if not differ(r, b):
-                kids[parent][c] = r
-                absorb(r, b)
-                break
-        else:
-            kept.add(b)
-            order.append(b)
-            front.extend((b, x) for x in sorted(kids[b]))
+        if not m.join_nearest(state, kept):
+            kept.append(state)
+        todo += [x for x in m.successors(m.find(state)) if x not in kept]
+    order = list(dict.fromkeys([m.find(0), *map(m.find, kept)]))
     number = {s: i for i, s in enumerate(order)}
-    out = Automaton([], [])
+    tally: dict[str, int] = {}
     for s in order:
-        total = ends[s] + sum(moved[s].values()) + 1
-        out.moves.append({c: (number[k], -math.log2(moved[s][c] / total)) for c, k in kids[s].items()})
-        out.ends.append(-math.log2((ends[s] + 0.5) / total))
+        for c, n in m.moved[s].items():
+            tally[c] = tally.get(c, 0) + n
+    letters = sum(tally.values())
+    alphabet = 256  # what a token may be made of, generously
+    share = {c: (n + 0.5) / (letters + 0.5 * alphabet) for c, n in tally.items()}
+    rare = 0.5 / (letters + 0.5 * alphabet)
+    stop = (len(samples) + 0.5) / (letters + len(samples) + 1)
+    out = Automaton([], [], [], {c: -math.log2(p) for c, p in share.items()}, 4 - math.log2(rare))
+    for s in order:
+        total = m.seen[s] + weight
+        out.moves.append({c: (number[m.find(k)], -math.log2((m.moved[s][c] + weight * share[c]) / total)) for c, k in m.kids[s].items()})
+        usual = max(m.moved[s], key=lambda c: (m.moved[s][c], c), default=None)
+        out.others.append((number[s] if usual is None else number[m.find(m.kids[s][usual])], -math.log2(weight / total)))
+        out.ends.append(-math.log2((m.ends[s] + weight * stop) / total))
     return out
 
 
 @dataclass
 class SecretModel:
-    formats: dict[str, Automaton]
-    ordinary: Automaton | None
-    limits: dict[str, float]  # most bits a character that a labelled credential of the format takes
-    margin: float
+    formats: dict[str, Automaton] = field(default_factory=dict)
+    ordinary: Automaton | None = None
+    limits: dict[str, float] = field(default_factory=dict)  # most bits a character that a credential of the format takes
+    margin: float = 1.0
 
-    def is_secret(self, token: str) -> bool:
+    def score(self, token: str, kind: str | None = None) -> tuple[float | None, bool]:
+        """(bits a character by which the best format - or that of `kind` - explains the token better than ordinary ones, whether it is a secret)."""
         if self.ordinary is None:
-            return False
-        plain = self.ordinary.bits(token)
-        return any(b <= self.limits[k] and plain - b >= self.margin for k, a in self.formats.items() if (b := a.bits(token)) is not None)
+            return None, False
+        plain, best, secret = self.ordinary.bits(token), None, False
+        if token in (token.upper(), token.capitalize()):  # a word is as ordinary in capitals
+            plain = min(plain, self.ordinary.bits(token.lower()))
+        for k, a in self.formats.items():
+            if kind in (None, k):
+                b = a.bits(token)
+                best = plain - b if best is None else max(best, plain - b)
+                secret = secret or (b <= self.limits[k] and plain - b >= self.margin)
+        return best, secret
+
+    def is_secret(self, token: str) -> bool:
+        return self.score(token)[1]
 
 
 def labelled_sample(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -205,49 +266,64 @@ def labelled_sample(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
     return rows.groupBy("label", "slot").agg(F.min(F.struct("h", "token")).alias("m")).select("label", F.col("m.token").alias("token"))
 
 
+def learn(strings: dict[str, list[str]], margin: float = 1.0, quantile: float = 0.99) -> SecretModel:
+    """A model of labelled credentials by kind, and of ordinary tokens (label "")."""
+    model = SecretModel(margin=margin)
+    if strings.get(""):
+        model.ordinary = infer(strings[""])
+    for kind in KINDS:
+        own = sorted(strings.get(kind, ()), key=lambda s: (zlib.crc32(s.encode()[::-1]), s))
+        if own:
+            apart, rest = own[::FOLDS], [s for i, s in enumerate(own) if i % FOLDS] or own
+            a = model.formats[kind] = infer(rest)
+            bits = sorted(map(a.bits, apart))
+            model.limits[kind] = bits[min(len(bits) - 1, int(quantile * len(bits)))]
+    return model
+
+
 def fit_secret_model(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, margin: float = 1.0, quantile: float = 0.99) -> SecretModel:
     """Automata from at most `sample` distinct credentials a label and as many ordinary tokens."""
     by: dict[str, list[str]] = {}
     for r in labelled_sample(docs, text_col, sample).collect():  # (labels + 1) * sample rows at most
         by.setdefault(r["label"], []).append(r["token"])
-    plain = by.pop("", None)
-    formats = {k: infer(by[k]) for k in KINDS if k in by}
-    limits = {}
-    for k, a in formats.items():
-        bits = sorted(a.bits(s) for s in by[k])
-        limits[k] = bits[min(len(bits) - 1, int(quantile * len(bits)))]
-    return SecretModel(formats, infer(plain) if plain else None, limits, margin)
+    return learn(by, margin, quantile)
 
 
 def scan_secrets(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, spans (array of kind, start, end; base and learned ones by start, then kind)."""
+    """One row a document: id, spans (array of kind, start, end, score; base and learned ones by start, then kind)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
     frame = pick(docs, id=id_col, text=text_col)
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def scan(batches):
         m = shared.value
-        known: dict[str, bool] = {}
+        known: dict[tuple[str, str | None], tuple[float | None, bool]] = {}
+
+        def score(token: str, kind: str | None) -> tuple[float | None, bool]:
+            got = known.get((token, kind))
+            if got is None:
+                if len(known) > 200_000:
+                    known.clear()
+                got = m.score(token, kind)
+                if len(token) < 200:
+                    known[token, kind] = got
+            return got
+
         for batch in batches:
             out = []
             for text in strings(batch.column(1)):
                 base = base_spans(text)
-                extra = []
+                found = [(s, rank, k, e, score(text[v:e], k)[0]) for s, rank, k, e, v in base]
                 for s, e in other_candidates(text, base):
-                    token = text[s:e]
-                    yes = known.get(token)
-                    if yes is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        yes = known[token] = m.is_secret(token)
+                    bits, yes = score(text[s:e], None)
                     if yes:
-                        extra.append((s, len(KINDS), LEARNED, e, s))
-                out.append([{"kind": k, "start": s, "end": e} for s, _, k, e, _ in sorted(base + extra)])
+                        found.append((s, len(KINDS), LEARNED, e, bits))
+                out.append([{"kind": k, "start": s, "end": e, "score": bits} for s, _, k, e, bits in sorted(found, key=lambda x: x[:4])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["id", "spans"])
 
     kind = frame.schema["id"].dataType.simpleString()
-    return frame.mapInArrow(scan, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(scan, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("id", id_col)
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

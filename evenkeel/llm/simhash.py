@@ -12,8 +12,10 @@ are not formed: two fingerprints within 2 bits share a centre within 1 bit of bo
 that share a centre are within 2 bits, so each is linked to the least fingerprint of its centres.
 Both ways give all links' components; no link is lost and none is capped.
 
-Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows
-share a component; null ids take part but never name a component unless it has no other.
+Defined cases: null and empty texts have fingerprint zero, linked like any other; very long texts are
+hashed in blocks of BLOCK shingles; repeated rows share a component, and ties of id go to the row that
+the scan meets first; null ids take part but never name a component unless it has no other; an empty
+table gives an empty result; other columns are ignored, whatever their names, and `drop_near` keeps them all.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binaries, cut, pick
+from .common import binaries, cut, match_rows, pick, settled
 from .components import components
 
 DISTANCE = 2
@@ -35,29 +37,28 @@ CROWD = 128
 BLOCK = 1 << 15
 
 
-def shingles(text: bytes, n: int = 3) -> list[bytes]:
-    """All n-word shingles, repeats included; the whole sequence where it has fewer words."""
-    words = text.lower().split()  # on bytes: A-Z only, and the contract's white space
-    if len(words) <= n:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+def shingles(words: list[bytes], start: int, end: int, n: int = 3) -> list[bytes]:
+    """The n-word shingles that begin at words start to end - 1."""
+    return [b" ".join(words[i : i + n]) for i in range(start, end)]
 
 
 def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
-    pieces = shingles(text, n)
-    if not pieces:
+    """Of all n-word shingles, repeats included; of the whole sequence where it has fewer words."""
+    words = text.lower().split()  # on bytes: A-Z only, and the contract's white space
+    if not words:
         return 0
+    many = max(1, len(words) - n + 1)
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for i in range(0, len(pieces), BLOCK):
-        h = np.fromiter((digest(p, seed) for p in pieces[i : i + BLOCK]), np.uint64)
+    for i in range(0, many, BLOCK):
+        h = np.fromiter((digest(p, seed) for p in shingles(words, i, min(many, i + BLOCK), n)), np.uint64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(pieces), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > many, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """One row a document: id, row (its number in the scan), fp (the 64 bits as a long)."""
-    frame = pick(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+    frame = settled(pick(docs, id=id_col, text=text_col)).withColumn("row", F.monotonically_increasing_id())
 
     def run(batches):
         for batch in batches:
@@ -156,8 +157,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that of the least id; all columns stay."""
-    kept = near_groups(docs, id_col, text_col).where("stays").select(F.col("row").alias("__kept"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    docs = settled(docs)
+    return match_rows(docs, near_groups(docs, id_col, text_col).where("stays"), "left_semi")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
