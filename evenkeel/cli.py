@@ -1,4 +1,4 @@
-"""Command line: prepare, bench, tasks, generate, suite, research, quality."""
+"""Command line: prepare, bench, tasks, generate, suite, research, smoke, quality."""
 
 from __future__ import annotations
 
@@ -10,15 +10,24 @@ from . import benchmark, experiments, pipeline
 from .config import Config
 from .generate import datasets as gen
 from .operators import analytics
-from .session import ISOLATED, local_session
+from .session import ISOLATED, session
 from .sources.files import read_tasks
 from .sources.sinks import write_generated
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="evenkeel", description=__doc__)
-    p.add_argument("--cores", default="*")
-    p.add_argument("--shuffle-partitions", type=int, default=8)
+    p.add_argument("--master", help="a cluster's address; else spark-submit's, else this machine")
+    p.add_argument("--cores", default="*", help="of this machine, where there is no other master")
+    p.add_argument("--shuffle-partitions", type=int)
+    p.add_argument("--driver-memory")
+    p.add_argument("--executor-memory")
+    p.add_argument("--broadcast-threshold", help="bytes up to which Spark broadcasts by itself; -1 for never")
+    p.add_argument("--no-adaptive", action="store_true")
+    p.add_argument("--no-vectorized-reader", action="store_true")
+    p.add_argument("--reader-batch-size", type=int)
+    p.add_argument("--max-partition-bytes")
+    p.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("prepare", help="statistics, plan, rewrite or no-op")
     a.add_argument("--config", required=True)
@@ -49,13 +58,49 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--payloads", type=int, default=0)
     a.add_argument("--compression", default="snappy")
     a.add_argument("--output", required=True)
-    for name in ("suite", "research", "quality"):
+    for name in ("suite", "research", "smoke", "quality"):
         a = sub.add_parser(name)
         a.add_argument("--folder", required=True)
         a.add_argument("--rows", type=int, nargs="+", default=[100_000])
+        if name != "quality":
+            a.add_argument("--max-partitions", type=int, nargs="+" if name == "suite" else None)
+            a.add_argument("--keys", type=int, default=1000)
+    for name, (skews, datasets, runs) in {"research": (list(experiments.SKEWS), 1, 1), "smoke": (["uniform", "heavy_key", "zipf"], 2, 3)}.items():
+        a = sub.choices[name]
+        a.add_argument("--skews", nargs="+", choices=list(experiments.SKEWS), default=skews)
+        a.add_argument("--workloads", nargs="+", choices=benchmark.WORKLOADS, default=list(benchmark.WORKLOADS))
+        a.add_argument("--dataset-repetitions", type=int, default=datasets)
+        a.add_argument("--spark-repetitions", type=int, default=runs)
+        a.add_argument("--trim", type=float, default=0.0)
+        a.add_argument("--heavy-fraction", type=float, default=0.5)
+        a.add_argument("--payloads", type=int, default=8)
+    a = sub.choices["suite"]
+    for axis in ("scenario", "heavy-fraction", "target-partition-size-mb"):
+        values = analytics.MATRIX[axis.replace("-", "_")]
+        a.add_argument(f"--{axis}", type=type(values[0]), nargs="+", default=values)
     return p
 
 
+def spark_conf(a: argparse.Namespace) -> dict[str, str]:
+    """Spark settings of the flags; --conf wins over the others."""
+    named = {
+        "spark.driver.memory": a.driver_memory,
+        "spark.executor.memory": a.executor_memory,
+        "spark.sql.autoBroadcastJoinThreshold": a.broadcast_threshold,
+        "spark.sql.adaptive.enabled": "false" if a.no_adaptive else None,
+        "spark.sql.parquet.enableVectorizedReader": "false" if a.no_vectorized_reader else None,
+        "spark.sql.parquet.columnarReaderBatchSize": a.reader_batch_size,
+        "spark.sql.files.maxPartitionBytes": a.max_partition_bytes,
+    }
+    isolated = ISOLATED if getattr(a, "isolated", False) else {}
+    return isolated | {k: str(v) for k, v in named.items() if v is not None} | dict(x.split("=", 1) for x in a.conf)
+
+
+def research(spark, a) -> list:
+    more = {} if a.max_partitions is None else {"max_partitions": a.max_partitions}
+    return experiments.run_research(spark, a.folder, a.rows, a.skews, a.workloads, a.dataset_repetitions, a.spark_repetitions, a.trim, keys=a.keys, heavy_fraction=a.heavy_fraction, payloads=a.payloads, **more)
+
+
 def generate(spark, a) -> dict:
     make = {
         "uniform": lambda: gen.uniform(spark, a.rows, a.keys, a.seed),
@@ -79,8 +124,7 @@ def generate(spark, a) -> dict:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    conf = ISOLATED if getattr(a, "isolated", False) else {}
-    spark = local_session(a.cores, a.shuffle_partitions, **{k.replace(".", "__"): v for k, v in conf.items()})
+    spark = session(a.master or (f"local[{a.cores}]" if a.cores != "*" else None), a.shuffle_partitions, spark_conf(a))
     if a.command == "prepare":
         got = pipeline.run(spark, Config.from_yaml_file(a.config).overridden(a.input, a.output))
         said: object = {"action": got.plan.document["action"], "path": got.path, "skew": got.statistics["skew"]}
@@ -94,9 +138,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "generate":
         said = generate(spark, a)
     elif a.command == "suite":
-        said = len(experiments.run_suite(spark, a.folder, analytics.matrix(rows=a.rows)))
-    elif a.command == "research":
-        said = experiments.run_research(spark, a.folder, a.rows)
+        axes = {"rows": a.rows, "scenario": a.scenario, "heavy_fraction": a.heavy_fraction, "target_partition_size_mb": a.target_partition_size_mb}
+        cases = analytics.matrix(**axes, **({"max_partitions": a.max_partitions} if a.max_partitions else {}))
+        said = len(experiments.run_suite(spark, a.folder, [c | {"keys": a.keys} for c in cases]))
+    elif a.command in ("research", "smoke"):
+        said = research(spark, a)
     else:
         said = experiments.partition_quality(spark, a.folder, a.rows[0])
     print(json.dumps(said, indent=2, default=str))

@@ -87,7 +87,7 @@ def run_research(spark: SparkSession, folder: str, rows: Sequence[int], skews: S
                         got = run_case(spark, f"{folder}/{skew}-{n}-{d}-{w}", c, w, reuse=k > 0)
                         modes = {r.mode: r for r in got["results"] if not r.skipped}
                         best = modes.get("method_aware") or modes.get("physical_only")
-                        for name, r, phase, pre in (("baseline", modes["baseline"], "before", 0.0), ("repartitioner", best, "after", got["preprocessing_seconds"] or 0.0)):
+                        for name, r, phase, pre in (("baseline", modes["baseline"], "before", 0.0), ("prepared", best, "after", got["preprocessing_seconds"] or 0.0)):
                             raw.append({"skew": skew, "workload": w, "rows": n, "variant": name, "dataset_repetition": d, "spark_repetition": k, "spark_mode": r.mode, "spark_time_seconds": r.elapsed_seconds, "preprocessing_seconds": pre, "total_with_preprocessing_seconds": r.elapsed_seconds + pre, "tau": got["metrics"][phase]["max_mean_ratio"]})
     kinds = "skew string, workload string, rows long, variant string, dataset_repetition int, spark_repetition int, spark_mode string, spark_time_seconds double, preprocessing_seconds double, total_with_preprocessing_seconds double, tau double"
     table = spark.createDataFrame([tuple(r.values()) for r in raw], kinds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MIB = 1 << 20
 MAX_U64 = (1 << 64) - 1
@@ -75,17 +75,32 @@ def skew(sizes: Sequence[int]) -> dict[str, float]:
     }
 
 
-def skew_columns(size: Column) -> list[Column]:
-    """The same as aggregates over a column of partition sizes, one row a partition."""
-    listed = F.array_sort(F.collect_list(size.cast("long")))
-    at = lambda p: F.get(listed, F.ceil((F.count(size) - 1) * F.lit(p)).cast("int")).cast("double")
-    mean = F.avg(size)
-    return [
-        F.coalesce(F.max(size).cast("long"), F.lit(0)).alias("max_partition_size"),
-        F.coalesce(mean, F.lit(0.0)).alias("mean_partition_size"),
+def skew_frame(sizes: DataFrame, column: str = "rows") -> DataFrame:
+    """The same over a table of sizes, one row a partition or key, as one row.
+
+    Sizes are first counted by value: distinct sizes are at most the square root of twice their sum,
+    whatever the number of rows, so they fit one list.
+    """
+    tally = sizes.groupBy(F.col(column).cast("long").alias("s")).agg(F.count("*").alias("n"))
+    total = F.sum((F.col("s").cast("decimal(38,0)") * F.col("n")).cast("decimal(38,0)")).cast("double")
+    one = tally.agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("l"), F.coalesce(F.sum("n"), F.lit(0)).alias("many"), total.alias("total"), F.max("s").alias("most"))
+    one = one.withColumn("mean", F.when(F.col("many") > 0, F.col("total") / F.col("many")))
+    none = F.lit(None).cast("long")
+
+    def at(p: float) -> Column:
+        rank = F.ceil((F.col("many") - 1) * F.lit(p))
+        start = F.struct(F.lit(0).cast("long").alias("seen"), none.alias("value"))
+        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["value"], F.when(a["seen"] + x["n"] > rank, x["s"])).alias("value"))
+        return F.aggregate("l", start, step, lambda a: a["value"].cast("double"))
+
+    squares = F.aggregate("l", F.lit(0.0), lambda a, x: a + x["n"] * (x["s"] - F.col("mean")) * (x["s"] - F.col("mean")))
+    one = one.withColumn("variance", F.when(F.col("many") > 0, squares / F.col("many")))
+    return one.select(
+        F.coalesce("most", F.lit(0).cast("long")).alias("max_partition_size"),
+        F.coalesce("mean", F.lit(0.0)).alias("mean_partition_size"),
         F.coalesce(at(0.5), F.lit(0.0)).alias("median_partition_size"),
         F.coalesce(at(0.95), F.lit(0.0)).alias("p95_partition_size"),
-        F.coalesce(F.var_pop(size), F.lit(0.0)).alias("partition_size_variance"),
-        F.coalesce(F.when(mean > 0, F.stddev_pop(size) / mean), F.lit(0.0)).alias("coefficient_of_variation"),
-        F.coalesce(F.when(mean > 0, F.max(size) / mean), F.lit(0.0)).alias("max_mean_imbalance_ratio"),
-    ]
+        F.coalesce("variance", F.lit(0.0)).alias("partition_size_variance"),
+        F.coalesce(F.when(F.col("mean") > 0, F.sqrt("variance") / F.col("mean")), F.lit(0.0)).alias("coefficient_of_variation"),
+        F.coalesce(F.when(F.col("mean") > 0, F.col("most") / F.col("mean")), F.lit(0.0)).alias("max_mean_imbalance_ratio"),
+    )

@@ -22,10 +22,9 @@ def partition_id(key: str, seed: int, partitions: int) -> int:
 
 
 def _bytes(text: Column) -> Column:
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    each = F.when(n > 0, F.sequence(F.lit(1), n)).when(n == 0, F.array().cast("array<int>"))  # null stays null
-    return F.transform(each, lambda i: F.conv(F.substr(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    """The UTF-8 bytes as an array; null stays null."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))  # one pass, whatever the length
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def fnv1a64_limbs(text: Column, seed: int = 0) -> Column:

@@ -12,7 +12,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from ..functions.arithmetic import MIB, div_ceil, mb_to_bytes, salt_count_column, skew_columns
+from ..functions.arithmetic import MIB, div_ceil, mb_to_bytes, salt_count_column, skew_frame
 from ..functions.hashing import partition_id_column
 from ..functions.keys import encode_key, structured_key
 from ..sources.files import InputFile
@@ -70,19 +70,23 @@ def approximate_frequencies(frame: DataFrame, keys: Sequence[str], capacity: int
     encoded = frame.select(encode_key(frame, keys, unsigned).alias("key"))
 
     def summarise(batches):
+        seen_rows = 0
+
         def each():
+            nonlocal seen_rows
             for b in batches:
+                seen_rows += b.num_rows
                 yield from b.column(0).to_pylist()
 
         counts, worst = space_saving(each(), capacity)
         if counts:
             least = min(counts.values()) if len(counts) >= capacity else 0
-            yield pa.RecordBatch.from_pydict({"key": [*counts, None], "n": [*counts.values(), least], "worst": [worst] * (len(counts) + 1)})
+            yield pa.RecordBatch.from_pydict({"key": [*counts, None], "n": [*counts.values(), least], "worst": [worst] * (len(counts) + 1), "rows": [0] * len(counts) + [seen_rows]})
 
-    parts = encoded.mapInArrow(summarise, "key string, n long, worst long")
-    seen = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("tasks"), F.sum("worst").alias("worst"), F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("floor")).cache()
+    parts = encoded.mapInArrow(summarise, "key string, n long, worst long, rows long")
+    seen = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("tasks"), F.sum("worst").alias("worst"), F.sum("rows").alias("rows"), F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("floor")).cache()
     try:
-        totals = seen.where("key is null").select(F.col("worst"), F.col("floor")).first()
+        totals = seen.where("key is null").select("worst", "floor", "rows").first()
         floor, worst = (int(totals["floor"] or 0), int(totals["worst"] or 0)) if totals else (0, 0)
         top = seen.where("key is not null").orderBy(F.desc("n"), "key").limit(capacity + 1).collect()  # bounded by capacity
     finally:
@@ -92,7 +96,14 @@ def approximate_frequencies(frame: DataFrame, keys: Sequence[str], capacity: int
     bound = max(worst, floor, left_out)
     rows = [(r["key"], int(r["n"])) for r in kept]
     out = spark.createDataFrame(rows, "key string, frequency long")
-    return out, {"mode": "approximate", "capacity": capacity, "error_bound": f"space_saving_max_overestimate={bound}", "exact": False, "frequencies_truncated": True, "summary_size": len(rows), "max_error": bound}
+    return out, {"mode": "approximate", "capacity": capacity, "error_bound": f"space_saving_max_overestimate={bound}", "exact": False, "frequencies_truncated": True, "summary_size": len(rows), "max_error": bound, "observed_total_rows": int(totals["rows"]) if totals else 0}
+
+
+def with_typed_keys(counters: DataFrame, frame: DataFrame, keys: Sequence[str], unsigned: Iterable[str] = ()) -> DataFrame:
+    """counters (key, frequency; few) with `parts` and `k`, looked up in the rows: each task keeps one row a counter."""
+    own = frame.select(encode_key(frame, keys, unsigned).alias("key"), structured_key(frame, keys, unsigned).alias("parts"), F.struct(*keys).alias("k"))
+    wanted = F.broadcast(counters.select("key"))  # at most the summary's capacity
+    return counters.join(own.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("parts").alias("parts"), F.first("k").alias("k")), "key")
 
 
 def frequency_summary(frequencies: DataFrame) -> Row:
@@ -125,19 +136,26 @@ def heavy_keys(frequencies: DataFrame, alpha: float, target_rows: int) -> DataFr
 
 def partition_sizes(frequencies: DataFrame, partitions: int, seed: int) -> DataFrame:
     """partition_id, rows of each partition under plain hashing; empty ones are 0."""
-    own = frequencies.groupBy(partition_id_column(F.col("key"), seed, partitions).alias("partition_id")).agg(F.sum("frequency").alias("rows"))
-    all_ = frequencies.sparkSession.range(partitions).select(F.col("id").cast("int").alias("partition_id"))
-    return all_.join(own, "partition_id", "left").select("partition_id", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+    own = frequencies.select(partition_id_column(F.col("key"), seed, partitions).alias("partition_id"), F.col("frequency").alias("rows"))
+    return _filled(own, partitions)
+
+
+def _filled(own: DataFrame, partitions: int) -> DataFrame:
+    """Sums of rows by partition_id. Empty partitions come by a union: a join on the hash would let the
+    optimizer filter the scan by it, and so take the hash of every row."""
+    none = own.sparkSession.range(partitions).select(F.col("id").cast("int").alias("partition_id"), F.lit(0).cast("long").alias("rows"))
+    return own.unionByName(none).groupBy("partition_id").agg(F.sum("rows").cast("long").alias("rows"))
 
 
 def hash_partition_sizes(frame: DataFrame, keys: Sequence[str], partitions: int, seed: int, unsigned: Iterable[str] = ()) -> DataFrame:
-    """The same from all rows, for when frequencies are approximate."""
-    return partition_sizes(key_frequencies(frame, keys, unsigned), partitions, seed)
+    """The same from all rows, without counting keys: for when frequencies are approximate."""
+    hashed = frame.select(partition_id_column(encode_key(frame, keys, unsigned), seed, partitions).alias("partition_id"))
+    return _filled(hashed.groupBy("partition_id").agg(F.count("*").alias("rows")), partitions)
 
 
 def skew_statistics(sizes: DataFrame, column: str = "rows") -> DataFrame:
     """One row of skew statistics of partition sizes."""
-    return sizes.agg(*skew_columns(F.col(column)))
+    return skew_frame(sizes, column)
 
 
 def size_list(sizes: DataFrame) -> list[int]:

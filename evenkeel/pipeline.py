@@ -52,7 +52,7 @@ def plan_dataset(spark: SparkSession, config: Config, dataset: InputDataset | No
     finally:  # the plan holds what it needs
         for side in (left, other):
             if side:
-                side.counted.unpersist()
+                side.frequencies.unpersist()
 
 
 def run(spark: SparkSession, config: Config, salting: str = "round_robin") -> Prepared:

@@ -41,8 +41,7 @@ class SideStatistics:
     heavy: list[dict[str, Any]]
     candidates: list[str]
     detection: dict[str, Any]
-    frequencies: DataFrame
-    counted: DataFrame  # exact counts, kept while planning
+    frequencies: DataFrame  # kept while planning
     warnings: list[str] = field(default_factory=list)
 
     @property
@@ -51,12 +50,18 @@ class SideStatistics:
 
 
 def side_statistics(config: Config, dataset: InputDataset, keys: tuple[str, ...], unsigned: tuple[str, ...] = ()) -> SideStatistics:
-    """One aggregation over the key columns; frequencies are kept (spilling to disk), rows are not."""
+    """One aggregation over the key columns, or in approximate mode one summary a task; frequencies are kept (spilling to disk), rows are not."""
     frame, p = dataset.frame, config.partitioning
-    exact_counts = st.key_frequencies(frame, keys, unsigned).persist()
     approximate = config.statistics.heavy_hitter_mode == "approximate"
-    totals = st.frequency_summary(exact_counts)
-    rows = int(totals["rows"])
+    if approximate:  # no key is counted exactly
+        frequencies, detection = st.approximate_frequencies(frame, keys, config.statistics.approximate_capacity, unsigned)
+        frequencies = st.with_typed_keys(frequencies, frame, keys, unsigned).persist()
+        summary, rows, distinct = st.frequency_summary(frequencies), detection["observed_total_rows"], None
+    else:
+        frequencies = st.key_frequencies(frame, keys, unsigned).persist()
+        summary = st.frequency_summary(frequencies)
+        rows, distinct = int(summary["rows"]), int(summary["distinct_keys"])
+        detection = {"mode": "exact", "capacity": config.statistics.approximate_capacity, "error_bound": "0", "exact": True, "frequencies_truncated": False, "summary_size": distinct, "max_error": 0, "observed_total_rows": rows}
     size = dataset.size_bytes
     mb = st.dataset_mb(size)
     limit = config.resources.memory_limit_mb
@@ -67,16 +72,6 @@ def side_statistics(config: Config, dataset: InputDataset, keys: tuple[str, ...]
         warnings.append("estimated_dataset_size_exceeds_configured_memory_limit")
     width = st.row_width(size, rows)
     goal = target(rows, width, p.target_partition_size_mb, p.min_partitions, p.max_partitions)
-    if approximate:
-        frequencies, detection = st.approximate_frequencies(frame, keys, config.statistics.approximate_capacity, unsigned)
-        frequencies = frequencies.join(exact_counts.select("key", "parts", "k"), "key")  # structured keys of the counters
-        summary = st.frequency_summary(frequencies)
-        distinct = None
-    else:
-        frequencies, summary = exact_counts, totals
-        distinct = int(totals["distinct_keys"])
-        detection = {"mode": "exact", "capacity": config.statistics.approximate_capacity, "error_bound": "0", "exact": True, "frequencies_truncated": False, "summary_size": distinct, "max_error": 0}
-    detection["observed_total_rows"] = rows
     # All of them, as documents and join plans list them: distinct keys / alpha and rows / target rows at most.
     heavy_rows = sorted(st.heavy_keys(frequencies, p.heavy_key_alpha, goal.target_rows).collect(), key=lambda r: r["key"].encode())
     heavy = [
@@ -86,8 +81,8 @@ def side_statistics(config: Config, dataset: InputDataset, keys: tuple[str, ...]
     mean = float(summary["mean_key_frequency"])
     return SideStatistics(
         size, dataset.files, rows, distinct, mean, int(summary["max_key_frequency"]), goal, width,
-        st.size_list(st.partition_sizes(exact_counts, goal.partitions, p.seed)),
-        heavy, [h["key"] for h in heavy if "above_mean_threshold" in h["reasons"]], detection, frequencies, exact_counts, warnings,
+        st.size_list(st.hash_partition_sizes(frame, keys, goal.partitions, p.seed, unsigned) if approximate else st.partition_sizes(frequencies, goal.partitions, p.seed)),
+        heavy, [h["key"] for h in heavy if "above_mean_threshold" in h["reasons"]], detection, frequencies, warnings,
     )
 
 

@@ -8,15 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .config import Config
-from .functions.arithmetic import salt_count_column, salt_load_column, skew_columns
+from .functions.arithmetic import salt_count_column, salt_load_column, skew_frame
 from .functions.hashing import fnv1a64_column, partition_id_column, stable_value
 from .functions.keys import encode_key, keys_frame, structured_key
 from .generate import datasets as gen
 from .operators import analytics, statistics as st, verify, workloads as wl
 from .operators.assign import assign, numbered
-from .pipeline import plan_dataset
-from .session import ship
-from .sources.files import InputDataset, join_right_side, list_files
+from .pipeline import plan_dataset, run as prepare
+from .plans.planner import stored_plan
+from .session import scratch_folder, ship
+from .sources.files import InputDataset, join_right_side, list_files, read_dataset, read_manifest, read_plan, read_prepared
+from .sources.sinks import manifest_frames
+from .streaming.layout import append_batches
 
 SEED = 42
 
@@ -183,12 +186,8 @@ def heavy_candidates(spark, d):
 
 def heavy_keys(spark, d):
     docs = _t(spark, d, "documents")
-    f = st.key_frequencies(docs, ["lang"])
-    found = f.join(F.broadcast(docs.agg(F.ceil(F.count("*") / 16).alias("t"))), F.col("frequency") > F.col("t"))  # one row
-    reason = F.lit("exceeds_target_partition_rows")
-    mean = f.agg(F.avg("frequency").alias("m"))
-    out = found.join(F.broadcast(mean)).withColumn("reasons", F.concat_ws(",", F.when(F.col("frequency") > 2 * F.col("m"), F.lit("above_mean_threshold")), reason))
-    return out.select("key", "frequency", "reasons", F.floor((F.col("frequency") + F.col("t") - 1) / F.col("t")).alias("salt_count"))
+    found = st.heavy_keys(st.key_frequencies(docs, ["lang"]), 2.0, -(-docs.count() // 16))
+    return found.select("key", "frequency", F.array_join("reasons", ",").alias("reasons"), "salt_count")
 
 
 def planned_heavy_keys(spark, d):
@@ -227,7 +226,7 @@ def skew_statistics(spark, d):
 
 def skew_of_keys(spark, d):
     sizes = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("rows"))
-    s = sizes.agg(*skew_columns(F.col("rows")))
+    s = skew_frame(sizes)
     return s.select(*(F.round(c, 6).alias(c) if c != "max_partition_size" else F.col(c) for c in s.columns))
 
 
@@ -258,6 +257,120 @@ def approximate_keys(spark, d):
     return st.approximate_frequencies(_t(spark, d, "events"), ["event_type"], 1000)[0]
 
 
+def approximate_heavy(spark, d):
+    """Space-Saving with far fewer counters than keys: each key above rows / counters is there, and within the stated error."""
+    ship(spark)
+    rows = _t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 1, "hot").otherwise(F.col("l_orderkey").cast("string")).alias("k"))
+    found, said = st.approximate_frequencies(rows, ["k"], 64)
+    exact = st.key_frequencies(rows, ["k"]).select("key", F.col("frequency").alias("n"))
+    sure = exact.where(F.col("n") > said["observed_total_rows"] / 64)
+    return sure.join(found, "key", "left").select("key", "n", (F.col("frequency") - F.col("n")).between(0, said["max_error"]).alias("within_error"))
+
+
+def row_partition_sizes(spark, d):
+    """Partition sizes under plain hashing, from rows without counting keys."""
+    sizes = st.hash_partition_sizes(_t(spark, d, "lineitem").select("l_suppkey"), ["l_suppkey"], 16, SEED)
+    return sizes.select(F.col("partition_id").cast("long").alias("partition_id"), "rows")
+
+
+def heavy_rows(spark, d):
+    """Rows of heavy keys told from the rest, by a join with the plan's keys."""
+    docs = _t(spark, d, "documents")
+    heavy, _ = wl.planned_salts(_plan(spark, d, "documents", "lang"), docs, ["lang"])
+    return wl.heavy_predicate(docs.select("lang"), ["lang"], heavy).groupBy("lang", "is_heavy").agg(F.count("*").alias("n"))
+
+
+def join_payloads(spark, d):
+    """The join workload's right side: one payload a key."""
+    right = join_right_side(_t(spark, d, "orders"), ["o_custkey"])
+    return right.agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("keys"), F.count_distinct("join_payload").alias("payloads"))
+
+
+# Whole runs: a table is prepared as a layout in a scratch folder, and read back.
+
+
+def _prepared(spark, d, name, columns, key, job="group_by", fmt="parquet", **more):
+    """(folder of the layout, what was prepared) of some columns of a table, always rewritten."""
+    ship(spark)
+    folder = scratch_folder(spark, "layout")
+    rows = _t(spark, d, name).select(*columns)
+    if fmt == "csv":
+        rows.write.option("header", True).csv(f"{folder}/input")
+    else:
+        rows.write.parquet(f"{folder}/input")
+    config = Config.from_dict({"dataset": {"input": f"{folder}/input", "input_format": fmt}, "output": {"path": f"{folder}/out"}, "partitioning": {"key_columns": [key], "target_partition_size_mb": 64, "heavy_key_alpha": 2.0, "min_partitions": 16, "max_partitions": 16, "force_rewrite": True, "seed": SEED, **more.pop("partitioning", {})}, "job": {"type": job}, **more})
+    return f"{folder}/out", prepare(spark, config)
+
+
+def csv_source(spark, d):
+    ship(spark)
+    folder = scratch_folder(spark, "csv")
+    _t(spark, d, "nation").select("n_nationkey", "n_name").write.option("header", True).csv(folder)
+    return read_dataset(spark, folder, "csv").frame
+
+
+def csv_layout(spark, d):
+    """CSV in, Parquet layout out, with all columns."""
+    out, _ = _prepared(spark, d, "supplier", ["s_suppkey", "s_nationkey"], "s_nationkey", fmt="csv")
+    return read_prepared(spark, out).groupBy("s_nationkey").agg(F.count("*").alias("n"), F.sum(F.col("s_suppkey").cast("long")).alias("keys"))
+
+
+def layout_rows(spark, d):
+    out, _ = _prepared(spark, d, "lineitem", ["l_suppkey", "l_quantity"], "l_suppkey")
+    return read_prepared(spark, out).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+def layout_manifest(spark, d):
+    """Rows of each partition by the manifest of a layout placed by hash."""
+    out, _ = _prepared(spark, d, "customer", ["c_custkey"], "c_custkey", partitioning={"normal_key_assignment": "hash"})
+    parts = read_manifest(spark, out)["partitions"]
+    return spark.createDataFrame([(p["partition_id"], p["row_count"]) for p in parts], "partition_id long, rows long")
+
+
+def layout_files(spark, d):
+    """Rows, by partition folder, of a layout whose heavy keys were salted: each row is in the partition that it was given."""
+    out, _ = _prepared(spark, d, "documents", ["doc_id", "lang"], "lang")
+    _, each = manifest_frames(spark, out, 16)
+    rows = read_prepared(spark, out)
+    return each.agg(F.sum("row_count").alias("rows"), F.count("*").alias("partitions")).crossJoin(rows.agg(F.count_if(F.col("rp_partition") != F.col("_rp_partition_id")).alias("astray")))  # one row each
+
+
+def stored_keys(spark, d):
+    """The table of all keys beside a layout's documents, read back as a plan."""
+    out, _ = _prepared(spark, d, "orders", ["o_custkey"], "o_custkey")
+    return stored_plan(spark, out).keys.select("key", "frequency")
+
+
+def method_aware_join(spark, d):
+    """The join that a stored plan recommends, on its layout."""
+    folder = scratch_folder(spark, "right")
+    _t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").write.parquet(folder)
+    out, _ = _prepared(spark, d, "lineitem", ["l_suppkey", "l_extendedprice"], "l_suppkey", "join", join={"right_input": folder, "join_keys": ["l_suppkey"], "broadcast_threshold_mb": 0, "right_side_mode": "shuffle"}, partitioning={"heavy_key_alpha": 1.0})
+    plan, left = read_plan(spark, out), read_prepared(spark, out)
+    assert wl.skip_reason(plan, read_manifest(spark, out), ["l_suppkey"], left.columns) is None
+    joined, _ = wl.method_aware_join(left, spark.read.parquet(folder), ["l_suppkey"], plan)
+    return joined.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("decimal(38,0)")).alias("cents"))
+
+
+def skip_reasons(spark, d):
+    """Why the join of a layout does not run by its plan: for other keys, another job, no plan."""
+    out, _ = _prepared(spark, d, "nation", ["n_nationkey", "n_regionkey"], "n_regionkey")
+    plan, names = read_plan(spark, out), read_prepared(spark, out).columns
+    as_join = plan | {"job_type": "join", "recommended_downstream_plan": plan["recommended_downstream_plan"] | {"job_type": "join", "join_keys": ["n_regionkey"]}}
+    cases = [("no plan", None, None), ("reused", plan, {"input_reused": True}), ("other job", plan, None), ("other keys", as_join | {"recommended_downstream_plan": as_join["recommended_downstream_plan"] | {"join_keys": ["x"]}}, None), ("strategy", as_join, None)]
+    return spark.createDataFrame([(n, wl.skip_reason(p, m, ["n_regionkey"], names)) for n, p, m in cases], "case string, reason string")
+
+
+def appended_layout(spark, d):
+    """A stream of orders appended to a layout with its stored plan."""
+    out, _ = _prepared(spark, d, "orders", ["o_custkey", "o_orderkey"], "o_custkey")
+    source = out.rsplit("/", 1)[0] + "/input"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    more = scratch_folder(spark, "appended")
+    append_batches(stream, stored_plan(spark, out), ["o_custkey"], more, scratch_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(more).groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("rp_partition").alias("partitions")).select("o_custkey", "n", (F.col("partitions") >= 1).alias("placed"))
+
+
 def file_summary(spark, d):
     return st.observed_files(_t(spark, d, "lineitem")).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
@@ -465,6 +578,19 @@ ORACLE = {
     "skew_of_keys": "WITH u AS (SELECT count(*) AS rows FROM events GROUP BY user_id), " + _skew_sql("u"),
     "lpt_order": "SELECT '9:o_custkey#int64:' || o_custkey AS key, count(*) AS frequency FROM orders GROUP BY 1 ORDER BY 2 DESC, 1",
     "approximate_keys": "SELECT '10:event_type#utf8:' || strlen(event_type) || ':' || event_type AS key, count(*) AS frequency FROM events GROUP BY 1",
+    "approximate_heavy": "WITH k AS (SELECT CASE WHEN l_linenumber = 1 THEN 'hot' ELSE CAST(l_orderkey AS VARCHAR) END AS k FROM lineitem) SELECT '1:k#utf8:' || strlen(k) || ':' || k AS key, count(*) AS n, true AS within_error FROM k GROUP BY k HAVING count(*) > (SELECT count(*) FROM k) / 64",
+    "row_partition_sizes": "WITH " + _SIZES + "SELECT partition_id, rows FROM s",
+    "heavy_rows": f"WITH h AS ({_HEAVY}) SELECT lang, {_LANG_KEY} IN (SELECT key FROM h) AS is_heavy, count(*) AS n FROM documents GROUP BY 1, 2",
+    "join_payloads": "SELECT count(DISTINCT o_custkey) AS rows, count(DISTINCT o_custkey) AS keys, count(DISTINCT o_custkey) AS payloads FROM orders",
+    "csv_source": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation",
+    "csv_layout": "SELECT CAST(s_nationkey AS VARCHAR) AS s_nationkey, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM supplier GROUP BY 1",
+    "layout_rows": "SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1",
+    "layout_manifest": "WITH " + _fnv("SELECT '9:c_custkey#int64:' || c_custkey AS key FROM customer", 16) + "SELECT range AS partition_id, count(key) AS rows FROM range(16) LEFT JOIN h ON partition = range GROUP BY 1",
+    "layout_files": "SELECT count(*) AS rows, CAST(16 AS BIGINT) AS partitions, CAST(0 AS BIGINT) AS astray FROM documents",
+    "stored_keys": "SELECT '9:o_custkey#int64:' || o_custkey AS key, count(*) AS frequency FROM orders GROUP BY 1",
+    "method_aware_join": _SUPPLIER,
+    "skip_reasons": "SELECT * FROM (VALUES ('no plan', 'partition_plan_missing'), ('reused', 'input_reused'), ('other job', 'partition_plan_job_type_not_join'), ('other keys', 'join_key_mismatch'), ('strategy', 'unsupported_join_strategy')) AS t(\"case\", reason)",
+    "appended_layout": "SELECT o_custkey, count(*) AS n, true AS placed FROM orders GROUP BY 1",
     "file_summary": "SELECT CAST(1 AS BIGINT) AS files, count(*) AS rows FROM lineitem",
     "numbered_rows": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events",
     "rolling_hash": f"WITH RECURSIVE b AS (SELECT c_custkey, hex(encode(c_mktsegment)) AS x FROM customer), r(c_custkey, x, i, v) AS (SELECT c_custkey, x, 0, CAST(xor({SEED}, c_custkey) & 2147483647 AS BIGINT) FROM b UNION ALL SELECT c_custkey, x, i + 1, xor(v * 131, CAST(('0x' || substr(x, 2 * i + 1, 2)) AS BIGINT)) & 2147483647 FROM r WHERE i < length(x) / 2) SELECT c_custkey, v FROM r WHERE i = length(x) / 2",

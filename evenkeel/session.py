@@ -40,15 +40,28 @@ def scratch_folder(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session for one machine: adaptive execution on, UTC, as many shuffle partitions as asked for."""
-    builder = SparkSession.builder.master(f"local[{cores}]").appName("evenkeel")
-    base = {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
-    for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
+def session(master: str | None = None, shuffle_partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
+    """A session in UTC with adaptive execution.
+
+    The master is the one given; else, under spark-submit, the one it names; else all cores of this
+    machine. `conf` comes last and wins. Shuffle partitions stay as configured unless given.
+    """
+    builder = SparkSession.builder.appName("evenkeel").config("spark.sql.session.timeZone", "UTC")
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # spark-submit sets this variable for its Python driver
+        builder = builder.master(master or "local[*]")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (conf or {}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
 
 
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
+    """A session for one machine, without user interface."""
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    return session(f"local[{cores}]", shuffle_partitions, quiet | {k.replace("__", "."): v for k, v in conf.items()})
+
+
 #: Spark settings under which layouts are compared without help from adaptive execution.
 ISOLATED = {
     "spark.sql.adaptive.enabled": "false",

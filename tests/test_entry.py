@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from evenkeel import queries as _base
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TOP = Path(__file__).resolve().parent.parent
@@ -29,7 +30,7 @@ def plain(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(_base.oracle_sql()))
 def test_query(spark, con, small, name):
     got = entry.queries()[name](spark, small)
     columns = sorted(got.columns)
@@ -41,13 +42,15 @@ def test_query(spark, con, small, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
-def test_every_operator_has_its_query():
-    names = entry.queries()
-    if any(n.startswith("op") for n in names):
-        for n in range(1, 11):
-            assert sum(x.startswith(f"op{n}_") for x in names) == 1
-        assert "pipeline" in names
-    assert set(entry.oracle_sql()) <= set(names)
+def test_registered():
+    assert set(_base.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_only_distinct_keys_are_hashed(spark, small):
+    """The scan's filter holds no hash: partition sizes take it of distinct keys, after the aggregation."""
+    plan = _base.fnv_partition_sizes(spark, small)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan") :]
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in scan and "conv(" not in scan
 
 
 def test_flagship(spark):

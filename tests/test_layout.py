@@ -223,6 +223,8 @@ def test_approximate(spark):
     plan, _, _ = pipeline.plan_dataset(spark, config(statistics={"heavy_hitter_mode": "approximate", "approximate_capacity": 8}), d)
     assert plan.document["normal_key_assignment"] == "hash" and not plan.document["normal_key_assignment_complete"]
     assert plan.statistics["input"]["distinct_keys"] is None and plan.statistics["heavy_hitter_detection"]["frequencies_truncated"]
+    frame = st.with_typed_keys(st.approximate_frequencies(d.frame, ["user_id"], 8)[0], d.frame, ["user_id"])
+    assert frame.count() == 8 and all(r["key"].endswith(r["k"]["user_id"]) for r in frame.collect())
     counts, worst = st.space_saving(["heavy"] * 100 + [f"x{i}" for i in range(900)], 16)
     assert counts["heavy"] >= 100 and len(counts) == 16 and worst > 0
 

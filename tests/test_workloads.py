@@ -136,15 +136,17 @@ def test_benchmark_reports_and_tasks(spark, tmp_path):
 
 
 def test_partition_metrics():
-    m = analytics.partition_metrics({"rows": 100, "target_partition_rows": 35, "before": {"max": 70, "mean": 25}, "after": {"max": 30, "mean": 25}, "cost_estimate": {"estimated_bytes_written": 1000, "estimated_rows_written": 100}})
+    m = analytics.partition_metrics({"rows": 100, "target_partition_rows": 35, "before_skew": {"max_partition_size": 70, "mean_partition_size": 25}, "after_skew": {"max_partition_size": 30, "mean_partition_size": 25}, "cost_estimate": {"estimated_bytes_written": 1000, "estimated_rows_written": 100}})
     assert m["before"]["largest_partition_share"] == 0.7 and m["after"]["skew_reduction_factor"] == pytest.approx(70 / 30)
     assert m["before"]["max_over_target_partition_rows"] == 2 and m["after"]["max_partition_bytes_estimated"] == 300
+    none = analytics.partition_metrics({"rows": 0, "target_partition_rows": 1, "before_skew": {"max_partition_size": 0}, "after_skew": None, "cost_estimate": {"estimated_bytes_written": 0, "estimated_rows_written": 0}})
+    assert set(none["after"]) == set(analytics.PHASE_METRICS) and none["after"]["skew_reduction_factor"] is None and none["before"]["max_partition_bytes_estimated"] is None
     assert analytics.add_optional(1, None) is None and analytics.first_number("", "x", "2") == 2
 
 
 def test_research_and_quality(spark, tmp_path):
     mean = experiments.run_research(spark, str(tmp_path), [1500], ["heavy_key"], ["group_by"], spark_repetitions=2, trim=0.2, keys=50, max_partitions=4)
-    assert {r["variant"] for r in mean} == {"baseline", "repartitioner"} and all(r["total_repetitions"] == 2 for r in mean)
+    assert {r["variant"] for r in mean} == {"baseline", "prepared"} and all(r["total_repetitions"] == 2 for r in mean)
     assert (tmp_path / "summary.csv").exists() and (tmp_path / "summary_raw.csv").exists()
     q = experiments.partition_quality(spark, str(tmp_path), 2000, [0, 0.5], 8)
     assert q[1]["rho_before"] > 3 and q[1]["rho_after"] < 1.6
@@ -153,7 +155,7 @@ def test_research_and_quality(spark, tmp_path):
 def test_variants_and_series(spark, tmp_path):
     rows = [("a", "baseline", False), ("a", "physical_only", False), ("a", "method_aware", False), ("b", "baseline", False), ("b", "physical_only", False), ("b", "method_aware", True)]
     got = analytics.select_variants(spark.createDataFrame(rows, "w string, mode string, skipped boolean"), ["w"]).collect()
-    assert {(r["w"], r["variant"]): r["mode"] for r in got} == {("a", "baseline"): "baseline", ("a", "repartitioner"): "method_aware", ("b", "baseline"): "baseline", ("b", "repartitioner"): "physical_only"}
+    assert {(r["w"], r["variant"]): r["mode"] for r in got} == {("a", "baseline"): "baseline", ("a", "prepared"): "method_aware", ("b", "baseline"): "baseline", ("b", "prepared"): "physical_only"}
     (tmp_path / "s.csv").write_text("a,b\n1.5,x\noops,y\n")
     assert [r["a"] for r in analytics.read_series(spark, str(tmp_path / "s.csv"), ["a"]).collect()] == [1.5, None]
 
@@ -193,6 +195,16 @@ def test_generator_command(spark, tmp_path, capsys):
     assert len(first["payload"]) == 100 and first["region"].startswith("region_") and str(first["event_time"]) == "2024-01-01 00:00:00"
 
 
+def test_flags_become_settings():
+    p = cli.parser()
+    a = p.parse_args(["--master", "spark://h:7077", "--executor-memory", "8g", "--no-adaptive", "--broadcast-threshold", "-1", "--conf", "spark.x=a=b", "smoke", "--folder", "f", "--skews", "zipf"])
+    assert cli.spark_conf(a) == {"spark.executor.memory": "8g", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.x": "a=b"}
+    assert (a.master, a.skews, a.dataset_repetitions, a.spark_repetitions) == ("spark://h:7077", ["zipf"], 2, 3)
+    a = p.parse_args(["bench", "--isolated", "--original", "o", "--preprocessed", "p", "--json-report", "j", "--csv-report", "c"])
+    assert cli.spark_conf(a)["spark.sql.autoBroadcastJoinThreshold"] == "-1" and a.master is None
+    assert p.parse_args(["suite", "--folder", "f", "--scenario", "zipf"]).heavy_fraction == analytics.MATRIX["heavy_fraction"]
+
+
 def test_java_version():
     assert benchmark.java_major('openjdk version "17.0.2" 2022') == 17 and benchmark.java_major('java version "1.8.0_1"') == 8 and benchmark.java_major("?") is None
     benchmark.check_java(99)
