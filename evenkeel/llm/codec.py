@@ -38,16 +38,16 @@ from .bpe import read_ranks
 from .common import by_size, pick, settled, strings
 from .pretoken import pretokens, slices
 
-PART_CHARS = 16 << 20
+PART_CHARS = 8 << 20
 SWEEP = 1 << 18
 #: Characters of documents whose positions travel in one row.
 ROW_CHARS = 1 << 20
 #: Characters of documents whose words and positions meet in one partition.
-PARTITION_CHARS = 4 * PART_CHARS
+PARTITION_CHARS = 2 * PART_CHARS
 #: Buckets of words at most: each part sends a row to each bucket that it has words of. A bucket's distinct words are held together.
 BUCKETS = 1 << 12
 #: Ids that are decoded at a time.
-DECODE = 1 << 20
+DECODE = 1 << 18
 
 
 @functools.lru_cache(2)
@@ -266,7 +266,7 @@ def decode_ids(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", ids_c
             n = batch.num_rows
             offsets = batch.column(1).offsets.to_numpy().astype(np.int64) if n else np.zeros(1, np.int64)
             at = 0
-            while at < n:  # a million ids at a time, one document at least
+            while at < n:  # so many ids at a time, one document at least
                 to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE, "right")) - 1))
                 some = batch.slice(at, to - at)
                 pieces = table.take(some.column(1).flatten())
