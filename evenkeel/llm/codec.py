@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import read_ranks
-from .common import by_size, pick, settled, strings
+from .common import by_size, lean, pick, settled, strings
 from .pretoken import pretokens, slices
 
 PART_CHARS = 8 << 20
@@ -248,11 +248,11 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
                     values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at_id].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, values], ["id", "ids"])
 
-    asked = frame.mapInArrow(ask, _ROWS).repartition(width, "kind").sortWithinPartitions("kind")
-    answers = asked.mapInArrow(answer, _ROWS)
-    rows = answers.union(frame.mapInArrow(place, _ROWS))
+    asked = frame.mapInArrow(lean(ask), _ROWS).repartition(width, "kind").sortWithinPartitions("kind")
+    answers = asked.mapInArrow(lean(answer), _ROWS)
+    rows = answers.union(frame.mapInArrow(lean(place), _ROWS))
     together = rows.repartition(width, "part").sortWithinPartitions("part", "kind", "at")
-    out = together.mapInArrow(reassemble, f"id {id_field.simpleString()}, ids array<int>")
+    out = together.mapInArrow(lean(reassemble), f"id {id_field.simpleString()}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -278,7 +278,7 @@ def decode_ids(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", ids_c
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), joined.cast(pa.binary())], ["id", "ids", "bytes"])
                 at = to
 
-    return frame.mapInArrow(decode, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(decode), f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)
 
 
 def op6_bpe_codec(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -126,6 +127,27 @@ def match_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return kept.toDF(*names)
 
 
+#: Rows of a batch that are turned into Python objects at a time.
+BATCH_ROWS = 1000
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where that can be done: Spark's Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work):
+    """`work` for mapInArrow, with batches of at most BATCH_ROWS rows, and its memory given back at the end."""
+
+    def run(batches):
+        yield from work(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+        give_back()
+
+    return run
+
+
 def binaries(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import CountTransducer, read_merges
-from .common import by_size, pick, strings
+from .common import by_size, lean, pick, strings
 from .pretoken import pretokens, slices
 
 #: Characters that one sweep of the machines takes.
@@ -75,7 +75,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), size.cast(pa.int64()), pa.array(counter(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = frame.schema["id"].dataType.simpleString()
-    return frame.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(count), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def op4_token_counts(spark, sf_dir: str, limit: int = 1024) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binaries, cut, match_rows, merge_runs, pick, settled
+from .common import binaries, cut, lean, match_rows, merge_runs, pick, settled
 
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once; more text makes more passes.
@@ -130,6 +130,9 @@ class FMIndex:
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         left = np.arange(len(patterns))
         for column in patterns.T[::-1]:
+            known = column[left] < len(self.first) - 1  # other words are not in the text
+            low[left[~known]] = high[left[~known]] = 0
+            left = left[known]
             c = column[left].astype(np.int64)
             lo, hi = self.first[c] + self.last.rank(c, low[left]), self.first[c] + self.last.rank(c, high[left])
             low[left], high[left] = lo, np.maximum(lo, hi)
@@ -297,7 +300,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                     ["id", "row", "n_words", "spans", "items"],
                 )
 
-        return frame.mapInArrow(run, f"id {kind}, row long, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"), shared
+        return frame.mapInArrow(lean(run), f"id {kind}, row long, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"), shared
 
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     found, shared = one_pass(next(blocks))

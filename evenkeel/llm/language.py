@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
-from .common import by_size, cut, fold, pick, position, settled, strings
+from .common import by_size, cut, fold, lean, pick, position, settled, strings
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -211,7 +211,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in total], "gram": [k[1] for k in total], "n": list(total.values())})
 
-    return rows.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(lean(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: dict[str, dict[str, int]], discount: float = 0.75) -> LanguageModel:
@@ -305,8 +305,9 @@ def fit_language_model(docs: DataFrame, where: Column | None = None, id_col: str
             usual = [float(c[own[k]] - SHORT / np.sqrt(m)) if has and k in own else None for k, c, m, has in zip(langs, cost, n, letter, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(usual, pa.float64())], ["lang", "bits"])
 
-    most = sample.where(apart).select("lang", "text").mapInArrow(excess, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits"))
+    most = sample.where(apart).select("lang", "text").mapInArrow(lean(excess), "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits"))
     usual = {r["lang"]: r["bits"] for r in most.collect() if r["bits"] is not None}  # a row a language
+    shared.destroy()
     model.limit = np.array([usual.get(x, np.inf) + margin for x in model.languages])
     return model
 
@@ -322,7 +323,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             columns = zip(*found, strict=True) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True))], ["id", "row", "lang_pred", "score", "rejected"])
 
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, row long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(run), f"id {frame.schema['id'].dataType.simpleString()}, row long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def drop_rejected(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +338,7 @@ def drop_rejected(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id",
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     ship(docs.sparkSession)
-    return flat.mapInArrow(run, flat.schema).toDF(*names)
+    return flat.mapInArrow(lean(run), flat.schema).toDF(*names)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

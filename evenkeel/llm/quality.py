@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import binaries, fold, pick
+from .common import binaries, fold, lean, pick
 
 STATISTICS = ("log_chars", "word_length", "long_words", "upper", "digits", "marks", "odd_marks", "shouts", "bars", "line_length", "repeated_lines", "distinct_words", "top_word", "distinct_pairs", "stop_marks", "short_words")
 ROWS = 8000
@@ -69,7 +69,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = np.array([statistics(t) for t in binaries(batch.column(1))]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], ["id", *STATISTICS])
 
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return frame.mapInArrow(lean(run), f"id {frame.schema['id'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 Test = tuple[int, bool, float]  # statistic, whether above, threshold

@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, strings
+from .common import lean, pick, strings
 
 #: Base patterns (fixed values), in the order in which their kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -262,7 +262,7 @@ def labelled_sample(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
         if best:
             yield pa.RecordBatch.from_pydict({"label": [k[0] for k in best], "slot": pa.array([k[1] for k in best], pa.int32()), "h": [v[0] for v in best.values()], "token": [v[1] for v in best.values()]})
 
-    rows = pick(docs, text=text_col).mapInArrow(per_task, "label string, slot int, h long, token string")
+    rows = pick(docs, text=text_col).mapInArrow(lean(per_task), "label string, slot int, h long, token string")
     return rows.groupBy("label", "slot").agg(F.min(F.struct("h", "token")).alias("m")).select("label", F.col("m.token").alias("token"))
 
 
@@ -323,7 +323,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["id", "spans"])
 
     kind = frame.schema["id"].dataType.simpleString()
-    return frame.mapInArrow(scan, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(lean(scan), f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("id", id_col)
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binaries, cut, match_rows, pick, settled
+from .common import binaries, cut, lean, match_rows, pick, settled
 from .components import components
 
 DISTANCE = 2
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, n) for t in binaries(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64())], ["id", "row", "fp"])
 
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, row long, fp long")
+    return frame.mapInArrow(lean(run), f"id {frame.schema['id'].dataType.simpleString()}, row long, fp long")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binaries, cut, merge_runs, pick, settled
+from .common import binaries, cut, lean, merge_runs, pick, settled
 
 LENGTH, LEAD = 200, 32
 PLACES = LENGTH - LEAD + 1
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for doc, at, first, last, h in anchors(binaries(batch.column(0))):
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rows[doc]), pa.array(at.astype(np.int32)), pa.array((at - first).astype(np.int16)), pa.array((at - last).astype(np.int16))], ["h", "row", "at", "most", "least"])
 
-    places = cut(frame.select("text", "row").mapInArrow(find, "h long, row long, at int, most short, least short"), "places")
+    places = cut(frame.select("text", "row").mapInArrow(lean(find), "h long, row long, at int, most short, least short"), "places")
     # Written out, so that the join below has an exchange on both sides and a hot lead's places can be split.
     shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "leads")
     flagged = places.join(shared, "h", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "most", "least")).alias("ats")).withColumnRenamed("row", "row_")
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     known = frame.join(flagged, F.col("row") == F.col("row_"), "left").select("id", "text", "row", "ats")
-    state = cut(known.mapInArrow(finish, f"id {id_kind}, row long, n_bytes long, sha256 string, text binary, ats {ats_kind}"), "texts")
+    state = cut(known.mapInArrow(lean(finish), f"id {id_kind}, row long, n_bytes long, sha256 string, text binary, ats {ats_kind}"), "texts")
     open_ = state.where("ats is not null")
     total = open_.agg(F.sum(F.size("ats")).alias("n")).first()["n"] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 300 / BUCKET) + 1)
@@ -246,7 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ["lead", "more", "before", "row", "first", "low"],
                 )
 
-    listed = open_.select("text", "ats", "row").mapInArrow(suffixes, "lead binary, more binary, before binary, row long, first long, low long")
+    listed = open_.select("text", "ats", "row").mapInArrow(lean(suffixes), "lead binary, more binary, before binary, row long, first long, low long")
     ranged = listed.repartitionByRange(parts, "lead", F.xxhash64("row", "first"))
 
     def buckets(batches):
@@ -263,7 +263,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = np.array(starts, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(rows, pa.int64()), pa.array(at), pa.array(at + LENGTH)], ["digest", "row", "start", "end"])
 
-    found = cut(ranged.mapInArrow(buckets, "digest binary, row long, start long, end long"), "spans")
+    found = cut(ranged.mapInArrow(lean(buckets), "digest binary, row long, start long, end long"), "spans")
     span = F.struct("row", "start", "end").alias("x")
     # A digest has one row from each bucket at most.
     across = found.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.collect_list(span).alias("all")).where("n > 1").select(F.explode("all").alias("x")).select("x.*").where("row >= 0")
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind), batch.column(2), pa.array(shas, pa.string())], ["id", "n_bytes", "spans", "text", "kept_sha256"])
 
     last = state.join(spans, F.col("row") == F.col("row_"), "left").select("id", "n_bytes", "text", "sha256", "spans")
-    return last.mapInArrow(settle, f"id {id_kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, text binary, kept_sha256 string").withColumnRenamed("id", id_col)
+    return last.mapInArrow(lean(settle), f"id {id_kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, text binary, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import byte_letters
-from .common import binaries, by_size, new_folder, pick, settled
+from .common import binaries, by_size, lean, new_folder, pick, settled
 
 ROWS = 1000
 #: Characters of text in a part, where parts are dealt.
@@ -163,7 +163,7 @@ def in_order(frame: DataFrame) -> bool:
         if task is not None:
             yield pa.RecordBatch.from_pydict({"p": pa.array([task], pa.int32()), "ok": [ok], "low": pa.array([low if ok else None], pa.int64()), "high": pa.array([high if ok else None], pa.int64())})
 
-    parts = seen.mapInArrow(look, "p int, ok boolean, low long, high long")
+    parts = seen.mapInArrow(lean(look), "p int, ok boolean, low long, high long")
     after = F.lag("high").over(Window.orderBy("p"))
     rows = parts.select("ok", (F.coalesce(after, F.col("low")) <= F.col("low")).alias("rises"))
     return rows.where("not ok or not rises").limit(1).count() == 0
@@ -214,7 +214,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
             os.replace(f"{name}.idx{mark}", f"{name}.idx")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(sizes) - 1], "n_tokens": [n], "bits": pa.array([16 if kind == "<u2" else 32], pa.int32())})
 
-    parts = sorted(ordered.mapInArrow(write, "part int, n_docs long, n_tokens long, bits int").collect())  # a row a part
+    parts = sorted(ordered.mapInArrow(lean(write), "part int, n_docs long, n_tokens long, bits int").collect())  # a row a part
     base, table = 0, []
     for p in parts:
         table.append((p["part"], p["n_docs"], p["n_tokens"], p["bits"], base))
@@ -258,7 +258,7 @@ def read_token_files(parts: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(file.doc_ids[a:b]), mask=np.arange(a, b) < file.nulls), pa.array(p["base"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, parts.count())
-    return parts.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(n).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir: str, folder: str | None = None) -> DataFrame:

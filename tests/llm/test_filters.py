@@ -128,6 +128,8 @@ def test_fm_index():
         for p, a, b in zip(patterns, low, high, strict=True):
             want = [i for i in range(400 - n + 1) if (text[i : i + n] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+    low, high = index.search(np.array([[1, 5000], [5000, 1], [7, 7]]))  # words that the text does not have
+    assert (low == high).all()
 
 
 # --- language ----------------------------------------------------------------------------------------------
