@@ -5,6 +5,8 @@ Types are made to match: counts are bigint, sums decimal(38,0) or rounded double
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .config import Config
@@ -13,11 +15,12 @@ from .functions.hashing import fnv1a64_column, partition_id_column, stable_value
 from .functions.keys import encode_key, keys_frame, structured_key
 from .generate import datasets as gen
 from .operators import analytics, statistics as st, verify, workloads as wl
-from .operators.assign import assign, numbered
+from .operators.assign import assign, numbered, partitions_of_key
 from .pipeline import plan_dataset, run as prepare
 from .plans.planner import stored_plan
+from .plans.targeting import target
 from .session import scratch_folder, ship
-from .sources.files import InputDataset, join_right_side, list_files, read_dataset, read_manifest, read_plan, read_prepared
+from .sources.files import InputDataset, in_memory, join_right_side, list_files, read_dataset, read_manifest, read_plan, read_prepared
 from .sources.sinks import manifest_frames
 from .streaming.layout import append_batches
 
@@ -370,6 +373,83 @@ def appended_layout(spark, d):
     append_batches(stream, stored_plan(spark, out), ["o_custkey"], more, scratch_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(more).groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("rp_partition").alias("partitions")).select("o_custkey", "n", (F.col("partitions") >= 1).alias("placed"))
 
+def layout_record(spark, d):
+    """One flat record of a layout's three documents: rows, keys, balance before, and what was written."""
+    out, _ = _prepared(spark, d, "customer", ["c_custkey"], "c_custkey", partitioning={"normal_key_assignment": "hash"})
+    r = analytics.collect_results(spark, out)
+    w = r["written_partitions"]
+    row = (r["rows"], r["distinct_keys"], r["output_partitions"], round(r["before_max_mean_ratio"], 6), r["skew_reduction_ratio"], w["max"], w["mean"], round(w["max_mean_ratio"], 6))
+    return spark.createDataFrame([row], "rows long, distinct_keys long, output_partitions long, before_ratio double, reduction double, written_max long, written_mean double, written_ratio double")
+
+
+def join_plan(spark, d):
+    """Heavy keys of both sides of a planned join, and the strategy that they lead to."""
+    events = _t(spark, d, "events").select("event_type", "value")
+    config = _config("event_type", "join", join={"right_input": "x", "join_keys": ["event_type"], "right_side_mode": "shuffle", "broadcast_threshold_mb": 0})
+    left, right = (InputDataset("x", "memory", [], f) for f in (events, events.where("event_type <> 'click'")))
+    found = plan_dataset(spark, config, left, right)[0].document["join_plan"]
+    names = [("left", "left_heavy_keys"), ("right", "right_heavy_keys"), ("shared", "shared_heavy_keys")]
+    return spark.createDataFrame([(side, k, found["recommended_strategy"]) for side, n in names for k in found[n]], "side string, key string, strategy string")
+
+
+def rewrite_reasons(spark, d):
+    """Whether a layout is rewritten, and why, by job and force."""
+    out = []
+    for job, force in (("group_by", False), ("scan", False), ("filter", False), ("scan", True)):
+        config = _config("lang", job)
+        config = dataclasses.replace(config, partitioning=dataclasses.replace(config.partitioning, force_rewrite=force))
+        plan = plan_dataset(spark, config, _dataset(spark, d, "documents"))[0]
+        out.append((job, force, plan.rewrite, plan.document["cost_estimate"]["reason"]))
+    return spark.createDataFrame(out, "job string, forced boolean, rewrite boolean, reason string")
+
+
+def partition_targets(spark, d):
+    """Partitions and rows of each for several tables and sizes, from row counts and a stated row width."""
+    out = []
+    for name in ("customer", "orders", "lineitem"):
+        rows = _t(spark, d, name).count()
+        for width in (10, 400):
+            t = target(rows, width, 1, 2, 16)
+            out.append((name, width, t.partitions, t.target_rows, t.required_by_size, t.satisfied))
+    return spark.createDataFrame(out, "dataset string, width long, partitions long, target_rows long, required_by_size long, satisfied boolean")
+
+
+def typed_keys(spark, d):
+    """Structured keys turned back into typed columns: date and time, text, number."""
+    o = _t(spark, d, "orders").select(F.date_trunc("year", "o_orderdate").alias("year"), "o_orderstatus", (F.year("o_orderdate") * 1000).cast("long").alias("n")).distinct()
+    names = ["year", "o_orderstatus", "n"]
+    parts = [[p.asDict() for p in r["k"]] for r in o.select(structured_key(o, names).alias("k")).collect()]  # a few a year
+    return keys_frame(spark, parts, o.schema, names)
+
+
+def first_heavy_keys(spark, d):
+    """The first five heavy keys of a plan, in key order, as a list to show."""
+    return planned_heavy_keys(spark, d).select("key", "frequency", "salt_count").orderBy("key").limit(5)
+
+
+def key_lookup(spark, d):
+    """Partitions to read for each language: the salts' for heavy keys, one for the rest."""
+    out, _ = _prepared(spark, d, "documents", ["doc_id", "lang"], "lang")
+    plan, rows = stored_plan(spark, out), read_prepared(spark, out)
+    keys = rows.select("lang", encode_key(rows, ["lang"]).alias("key")).distinct().collect()  # languages
+    pairs = [(r["lang"], p) for r in keys for p in partitions_of_key(plan.document, r["key"], plan.keys)]
+    looked = spark.createDataFrame(pairs, "l string, p long")
+    held = rows.join(F.broadcast(looked), F.col("lang").eqNullSafe(F.col("l")) & (F.col("rp_partition") == F.col("p")))
+    return held.groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def result_variants(spark, d):
+    """Runs told into baseline and prepared ones; skipped runs do not count."""
+    o = _t(spark, d, "orders")
+    mode = F.element_at(F.array(F.lit("baseline"), F.lit("physical_only"), F.lit("method_aware")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    runs = o.select("o_orderkey", "o_orderpriority", "o_orderstatus", mode.alias("mode"), (F.col("o_orderstatus") == "P").alias("skipped"))
+    return analytics.select_variants(runs, ["o_orderpriority", "o_orderstatus"]).select("o_orderkey", "variant")
+
+
+def memory_source(spark, d):
+    rows = [(i, None if i == 3 else f"k{i % 4}") for i in range(20)]
+    return st.key_frequencies(in_memory(spark, rows, "id long, k string").frame, ["k"]).select("key", "frequency")
+
 
 def file_summary(spark, d):
     return st.observed_files(_t(spark, d, "lineitem")).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
@@ -430,6 +510,17 @@ def generate_rows(spark, d):
     return rows.agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("keys"), F.max("event_time").cast("string").alias("last"), F.count_if(F.col("value").between(0, 999_999)).alias("in_range"))
 
 
+def generate_group_by(spark, d):
+    return _counts(gen.group_by_scenario(spark, 10_000, 50, "single_heavy", fraction=0.3))
+
+
+def generate_right_sides(spark, d):
+    """Rows, distinct keys and rows of the heavy key, of each right side of the join scenarios."""
+    sides = [gen.join_right_side(spark, n, 6000).withColumn("scenario", F.lit(n)) for n in ("small", "shared", "one_sided")]
+    both = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    return both.groupBy("scenario").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("keys"), F.count_if(F.col("key") == "heavy_00000000").alias("heavy"))
+
+
 def dimension(spark, d):
     return gen.dimension(_t(spark, d, "customer").select("c_mktsegment"), "c_mktsegment")
 
@@ -591,6 +682,21 @@ ORACLE = {
     "method_aware_join": _SUPPLIER,
     "skip_reasons": "SELECT * FROM (VALUES ('no plan', 'partition_plan_missing'), ('reused', 'input_reused'), ('other job', 'partition_plan_job_type_not_join'), ('other keys', 'join_key_mismatch'), ('strategy', 'unsupported_join_strategy')) AS t(\"case\", reason)",
     "appended_layout": "SELECT o_custkey, count(*) AS n, true AS placed FROM orders GROUP BY 1",
+    "layout_record": "WITH " + _fnv("SELECT '9:c_custkey#int64:' || c_custkey AS key FROM customer", 16) + ", s AS (SELECT range AS p, count(key) AS n FROM range(16) LEFT JOIN h ON partition = range GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, (SELECT count(DISTINCT c_custkey) FROM customer) AS distinct_keys, count(*) AS output_partitions, round(max(n) / avg(n), 6) AS before_ratio, CAST(1 AS DOUBLE) AS reduction, max(n) AS written_max, avg(n) AS written_mean, round(max(n) / avg(n), 6) AS written_ratio FROM s",
+    "join_plan": """WITH l AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), r AS (SELECT * FROM l WHERE event_type <> 'click'),
+a AS (SELECT event_type FROM l WHERE n > (SELECT ceil(sum(n) / 16) FROM l)), b AS (SELECT event_type FROM r WHERE n > (SELECT ceil(sum(n) / 16) FROM r)),
+c AS (SELECT event_type FROM a INTERSECT SELECT event_type FROM b),
+k AS (SELECT 'left' AS side, event_type FROM a UNION ALL SELECT 'right', event_type FROM b UNION ALL SELECT 'shared', event_type FROM c)
+SELECT side, '10:event_type#utf8:' || strlen(event_type) || ':' || event_type AS key, CASE WHEN EXISTS (SELECT 1 FROM c) THEN 'salted_heavy_key_join' ELSE 'heavy_key_isolation_join' END AS strategy FROM k""",
+    "rewrite_reasons": f"WITH h AS ({_HEAVY}), j AS (SELECT * FROM (VALUES ('group_by', false), ('scan', false), ('filter', false), ('scan', true)) AS t(job, forced)) SELECT job, forced, forced OR (job = 'group_by' AND EXISTS (SELECT 1 FROM h)) AS rewrite, CASE WHEN forced THEN 'force_rewrite' WHEN job <> 'group_by' THEN 'downstream_operator_not_skew_sensitive' WHEN EXISTS (SELECT 1 FROM h) THEN 'heavy_keys_detected' END AS reason FROM j",
+    "partition_targets": "WITH t AS (SELECT 'customer' AS dataset, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem), w AS (SELECT *, greatest(1, (n * width + 1048575) // 1048576) AS need FROM t, (SELECT unnest([10, 400]) AS width)), p AS (SELECT *, least(greatest(need, 2), 16) AS parts FROM w) SELECT dataset, CAST(width AS BIGINT) AS width, CAST(parts AS BIGINT) AS partitions, CAST(greatest(1, least((n + parts - 1) // parts, 1048576 // width)) AS BIGINT) AS target_rows, CAST(need AS BIGINT) AS required_by_size, need <= 16 AS satisfied FROM p",
+    "typed_keys": "SELECT DISTINCT date_trunc('year', o_orderdate) AS year, o_orderstatus, CAST(year(o_orderdate) * 1000 AS BIGINT) AS n FROM orders",
+    "first_heavy_keys": f"SELECT key, frequency, salt_count FROM ({_HEAVY}) ORDER BY key LIMIT 5",
+    "key_lookup": "SELECT lang, count(*) AS n FROM documents GROUP BY 1",
+    "result_variants": "WITH r AS (SELECT *, o_orderkey % 3 AS m FROM orders WHERE coalesce(o_orderstatus <> 'P', true)), b AS (SELECT *, max(CASE WHEN m = 2 THEN 2 ELSE 1 END) OVER (PARTITION BY o_orderpriority, o_orderstatus) AS best FROM r) SELECT o_orderkey, CASE WHEN m = 0 THEN 'baseline' ELSE 'prepared' END AS variant FROM b WHERE m IN (0, best)",
+    "memory_source": "WITH r AS (SELECT CASE WHEN range <> 3 THEN 'k' || range % 4 END AS k FROM range(20)) SELECT '1:k#' || CASE WHEN k IS NULL THEN 'null' ELSE 'utf8:' || strlen(k) || ':' || k END AS key, count(*) AS frequency FROM r GROUP BY k",
+    "generate_group_by": _tail(7000, 50, "SELECT 'group_heavy_00000000' AS key, 3000 AS n UNION ALL"),
+    "generate_right_sides": "SELECT * FROM (VALUES ('small', 6000::BIGINT, 6000::BIGINT, 0::BIGINT), ('shared', 6000, 3001, 3000), ('one_sided', 6000, 6000, 0)) AS t(scenario, rows, keys, heavy)",
     "file_summary": "SELECT CAST(1 AS BIGINT) AS files, count(*) AS rows FROM lineitem",
     "numbered_rows": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events",
     "rolling_hash": f"WITH RECURSIVE b AS (SELECT c_custkey, hex(encode(c_mktsegment)) AS x FROM customer), r(c_custkey, x, i, v) AS (SELECT c_custkey, x, 0, CAST(xor({SEED}, c_custkey) & 2147483647 AS BIGINT) FROM b UNION ALL SELECT c_custkey, x, i + 1, xor(v * 131, CAST(('0x' || substr(x, 2 * i + 1, 2)) AS BIGINT)) & 2147483647 FROM r WHERE i < length(x) / 2) SELECT c_custkey, v FROM r WHERE i = length(x) / 2",
