@@ -12,14 +12,16 @@ are not formed: two fingerprints within 2 bits share a centre within 1 bit of bo
 that share a centre are within 2 bits, so each is linked to the least fingerprint of its centres.
 Both ways give all links' components; no link is lost and none is capped.
 
-Defined cases: null and empty texts have fingerprint zero, linked like any other; very long texts are
-hashed in blocks of BLOCK shingles; repeated rows share a component, and ties of id go to the row that
+Defined cases: null and empty texts have fingerprint zero, linked like any other; very long texts are split
+in pieces of PIECE bytes and hashed in blocks of BLOCK shingles; repeated rows share a component, and ties of id go to the row that
 the scan meets first; null ids take part but never name a component unless it has no other; an empty
 table gives an empty result; other columns are ignored, whatever their names, and `drop_near` keeps them all.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,9 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 CROWD = 128
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 15
+#: Bytes of a text that are split into words at a time; a longer word is kept whole.
+PIECE = 1 << 18
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def shingles(words: list[bytes], start: int, end: int, n: int = 3) -> list[bytes]:
@@ -42,18 +47,36 @@ def shingles(words: list[bytes], start: int, end: int, n: int = 3) -> list[bytes
     return [b" ".join(words[i : i + n]) for i in range(start, end)]
 
 
+def word_lists(text: bytes):
+    """Words in lists, each from some PIECE bytes, cut at white space."""
+    start = 0
+    while start < len(text):
+        gap = GAP.search(text, start + PIECE)
+        end = gap.start() if gap else len(text)
+        yield text[start:end].lower().split()  # on bytes: A-Z only, and the contract's white space
+        start = end
+
+
 def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
     """Of all n-word shingles, repeats included; of the whole sequence where it has fewer words."""
-    words = text.lower().split()  # on bytes: A-Z only, and the contract's white space
-    if not words:
-        return 0
-    many = max(1, len(words) - n + 1)
-    ones = np.zeros(64, np.int64)
+    ones, many, words = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    for i in range(0, many, BLOCK):
-        h = np.fromiter((digest(p, seed) for p in shingles(words, i, min(many, i + BLOCK), n)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > many, bitorder="little").view("<u8")[0])
+
+    def add(parts: list[bytes]) -> None:
+        h = np.fromiter((digest(p, seed) for p in parts), np.uint64)
+        ones[:] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    for more in word_lists(text):
+        words += more  # after the last n - 1 words of the list before, which begin no shingle of their own yet
+        here = max(0, len(words) - n + 1)
+        for i in range(0, here, BLOCK):
+            add(shingles(words, i, min(here, i + BLOCK), n))
+        many += here
+        words = words[here:]
+    if not many and words:
+        add([b" ".join(words)])
+        many = 1
+    return int(np.packbits(2 * ones > many, bitorder="little").view("<u8")[0]) if many else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
