@@ -11,7 +11,7 @@ from evenkeel.errors import FileSizeBalancingNotImplemented, InputPathNotFound,
 from evenkeel.functions import arithmetic, hashing, keys
 from evenkeel.operators import statistics as st
 from evenkeel.operators.assign import assign, partitions_of_key
-from evenkeel.plans import planner
+from evenkeel.plans import placement, planner
 from evenkeel.plans.placement import Loads, place_normal, place_salts
 from evenkeel.plans.targeting import target
 from evenkeel.sources import files, sinks
@@ -218,6 +218,37 @@ def test_placement_against_a_plain_loop():
     assert len(salts["h"]) == 4 and sum(loads.sizes) == sum(sizes) + 100
 
 
+def test_placement_on_many_partitions(monkeypatch):
+    """Whole ties are hashed as arrays: the partitions of a plain loop, without a hash for each key and partition."""
+    import random
+
+    rng, calls = random.Random(3), []
+    pool = [(f"k{i}", rng.randint(0, 3)) for i in range(700)]
+    loads = Loads([rng.choice((0, 0, 0, 1)) for _ in range(431)])
+    sizes, want = loads.sizes.copy(), {}
+    for k, n in sorted(pool, key=lambda x: (-x[1], x[0])):
+        i = min(range(431), key=lambda i: (sizes[i], hashing.fnv1a64(f"{k}|candidate={i}", 42), i))
+        want[k] = i
+        sizes[i] += n
+    assert place_normal(pool, loads, 42) == want and loads.sizes == sizes
+    monkeypatch.setattr(placement, "fnv1a64", lambda *a, **b: calls.append(0) or hashing.fnv1a64(*a, **b))
+    salts = place_salts([(f"k{i}", 3) for i in range(2000)], Loads([0] * 4000), 2, 42)
+    assert sum(map(len, salts.values())) == 4000 and len(calls) < 4000 * 40
+
+
+def test_least_hash_of_ties():
+    """Also where the hashes of one ten begin at 0 again, and after partitions have gone."""
+    below_0 = (-16 * pow(hashing.PRIME, -1, 1 << 64)) % (1 << 64) ^ ord("0")
+    for state in (below_0, below_0 | 5, 0, 1, (1 << 64) - 1, *(hashing.fnv1a64(str(i)) for i in range(20))):
+        own = set(range(3, 1234, 3)) | set(range(10))
+        ties = placement.Ties(own, 7)
+        for _ in range(30):
+            best = ties.best(state)
+            assert best == min(own, key=lambda i: (hashing.fnv1a64(str(i), state=state), i))
+            own.discard(best)
+            ties.drop(best)
+
+
 def test_approximate(spark):
     d = memory(spark, [f"key_{i}" for i in range(250)])
     plan, _, _ = pipeline.plan_dataset(spark, config(statistics={"heavy_hitter_mode": "approximate", "approximate_capacity": 8}), d)
