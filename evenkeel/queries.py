@@ -101,12 +101,11 @@ def _heavy_join(spark, d, isolate=False):
     lines = _t(spark, d, "lineitem").select("l_suppkey", "l_extendedprice")
     n = max(16, supplier.count() * 5 // 4)
     plan = _plan(spark, d, "lineitem", "l_suppkey", most=n)
-    rows = assign(lines, plan, ["l_suppkey"])
     heavy, salts = wl.planned_salts(plan, lines, ["l_suppkey"])
-    if isolate:  # every second heavy key is taken as the right side's own: isolated, without salts
-        salts = salts.withColumn("salt_count", F.lit(1))
-        rows = rows.withColumn("_rp_salt", F.lit(None).cast("int"))
-    joined = wl.heavy_join(rows, supplier, ["l_suppkey"], heavy, salts, "_rp_salt", sum(h["salt_count"] for h in plan.heavy))
+    if isolate:  # heavy keys apart, without salts: rows need none of what assignment gives them
+        joined = wl.heavy_join(lines, supplier, ["l_suppkey"], heavy, None, None)
+    else:
+        joined = wl.heavy_join(assign(lines, plan, ["l_suppkey"]), supplier, ["l_suppkey"], heavy, salts, "_rp_salt", sum(h["salt_count"] for h in plan.heavy))
     return joined.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("decimal(38,0)")).alias("cents"))
 
 

@@ -53,6 +53,12 @@ def test_only_distinct_keys_are_hashed(spark, small):
     assert "regexp_extract_all" in plan and "regexp_extract_all" not in scan and "conv(" not in scan
 
 
+def test_isolation_numbers_no_rows(spark, small):
+    """Its heavy keys are joined without salts, so no row is looked up for its occurrence; the salted join does that."""
+    plan = lambda q: q(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__block" in plan(_base.salted_join) and "__block" not in plan(_base.isolation_join)
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
